@@ -6,7 +6,9 @@ user: a payee may have millions of payers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,13 +103,9 @@ def user_metrics(
         ]
     scored = sizes.join(hits.groupBy("user").agg(*per_cut), "user", "left")
 
-    # ideal gain of 1..deepest items, a fixed list of `deepest` numbers
-    ideal = F.transform(
-        F.sequence(F.lit(1), F.lit(deepest)),
-        lambda n: F.aggregate(
-            F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.lit(1.0) / F.log2(i.cast("double") + 1)
-        ),
-    )
+    # ideal gain of 1..deepest items: a constant list, no per-row work
+    gains = accumulate(1.0 / math.log2(i + 1) for i in range(1, deepest + 1))
+    ideal = F.array(*[F.lit(g) for g in gains])
     rows = []
     for k in cuts:
         ap, found, dcg = (F.coalesce(F.col(f"{name}_{k}"), F.lit(0.0)) for name in ("ap", "hits", "dcg"))
@@ -127,8 +125,15 @@ def user_metrics(
 def ranking_metrics(
     truth: DataFrame, predictions: DataFrame, ks: Iterable[int], users: DataFrame | None = None
 ) -> DataFrame:
-    """Means over all truth users as `(metric, k, value)`; users without a prediction count as 0."""
-    means = user_metrics(truth, predictions, ks, users).groupBy("k").agg(*[F.avg(m).alias(m) for m in METRICS])
+    """Means over all truth users as `(metric, k, value)`; users without a prediction count as 0.
+
+    Values are added as decimals, so the report does not depend on the order of the users.
+    """
+    means = (
+        user_metrics(truth, predictions, ks, users)
+        .groupBy("k")
+        .agg(*[(F.sum(F.col(m).cast("decimal(18,12)")).cast("double") / F.count(m)).alias(m) for m in METRICS])
+    )
     return means.unpivot("k", list(METRICS), "metric", "value").select("metric", "k", "value")
 
 

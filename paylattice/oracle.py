@@ -115,9 +115,9 @@ for s in ("dt", "kt"):
     for suffix, source in (("", "train"), ("_test", "test")):
         part(f"stats_{s}{suffix}", f"""
 SELECT {own}, sum(c_sum_fin)::DOUBLE / count(*) AS {s}_avg_sum,
-       round(coalesce(stddev_samp(x), 200000.0), 4) AS {s}_stddev_sum,
+       coalesce(stddev_samp(x), 200000.0) AS {s}_stddev_sum,
        min(x) AS {s}_min_sum, max(x) AS {s}_max_sum, quantile_disc(x, 0.5) AS {s}_median_sum,
-       round(CASE WHEN min(x) = max(x) THEN 2.5 ELSE avg((x - m) ** 3) / avg((x - m) ** 2) ** 1.5 END, 6) AS {s}_skewness_sum,
+       CASE WHEN min(x) = max(x) THEN 2.5 ELSE avg((x - m) ** 3) / avg((x - m) ** 2) ** 1.5 END AS {s}_skewness_sum,
        count(DISTINCT {partner}) AS {s}_buyers_count
 FROM (SELECT {own}, {partner}, c_sum_fin, c_sum_fin::DOUBLE AS x, avg(c_sum_fin::DOUBLE) OVER (PARTITION BY {own}) AS m
       FROM {source}) GROUP BY {own}
@@ -184,12 +184,13 @@ hits AS (SELECT "user", rank, row_number() OVER (PARTITION BY "user" ORDER BY ra
          FROM {predictions} JOIN {truth} USING ("user", item)),
 cuts AS (SELECT unnest({ks}) AS k),
 users AS (SELECT "user", n, k FROM sizes CROSS JOIN cuts),
-scored AS (SELECT u."user", k, any_value(n) AS n, coalesce(sum(found * 1.0 / rank), 0) AS ap, count(rank) AS h,
+scored AS (SELECT u."user", k, any_value(n) AS n, coalesce(sum(found::DOUBLE / rank), 0) AS ap, count(rank) AS h,
                   coalesce(sum(1 / log2(rank + 1)), 0) AS dcg
            FROM users u LEFT JOIN hits h ON h."user" = u."user" AND h.rank <= u.k GROUP BY u."user", k),
-means AS (SELECT k, avg(ap / least(n, k)) AS "MAP", avg(h * 1.0 / n) AS "Recall", avg(h * 1.0 / k) AS "Precision",
-                 avg(dcg / list_sum(list_transform(range(1, least(n, k) + 1), lambda i: 1 / log2(i + 1)))) AS "NDCG"
-          FROM scored GROUP BY k)
+each AS (SELECT k, ap / least(n, k) AS a, h::DOUBLE / n AS r, h::DOUBLE / k AS p,
+                dcg / list_sum(list_transform(range(1, least(n, k) + 1), lambda i: 1 / log2(i + 1))) AS g FROM scored),
+means AS (SELECT k, {", ".join(f'sum({c}::DECIMAL(18,12))::DOUBLE / count(*) AS "{m}"' for c, m in zip("arpg", ("MAP", "Recall", "Precision", "NDCG")))}
+          FROM each GROUP BY k)
 SELECT metric, k::INTEGER AS k, round(value, 9) AS value
 FROM (UNPIVOT means ON "MAP", "Recall", "Precision", "NDCG" INTO NAME metric VALUE value)"""
 
@@ -207,16 +208,16 @@ SELECT w.* FROM payment_words w JOIN base ON base.inn = w.inn_kt
 WHERE short_dt >= '1999-01-01' AND inn_dt IS NOT NULL AND inn_kt IS NOT NULL AND inn_kt <> inn_dt
 """, "payment_words", "base")
 part("company_totals", """
-SELECT inn_kt, count(DISTINCT id) AS all_nunique_cnt, sum(c_sum * sum_koef)::DOUBLE AS all_sum FROM word_rows GROUP BY inn_kt
+SELECT inn_kt, count(DISTINCT id) AS all_nunique_cnt, sum(c_sum * sum_koef) AS all_sum FROM word_rows GROUP BY inn_kt
 """, "word_rows")
 part("word_totals", """
 SELECT inn_kt, word, word_sum, word_nunique_cnt, all_nunique_cnt, all_sum
-FROM (SELECT inn_kt, word, sum(c_sum * sum_koef)::DOUBLE AS word_sum, count(DISTINCT id) AS word_nunique_cnt
+FROM (SELECT inn_kt, word, sum(c_sum * sum_koef) AS word_sum, count(DISTINCT id) AS word_nunique_cnt
       FROM word_rows WHERE word IS NOT NULL GROUP BY inn_kt, word) LEFT JOIN company_totals USING (inn_kt)
 """, "word_rows", "company_totals")
 part("word_scores", """
 SELECT *, 0.7::DOUBLE * norm_sum + 0.3::DOUBLE * norm_freq AS total_score
-FROM (SELECT *, coalesce(word_sum / nullif(max(word_sum) OVER w, 0), 0) AS norm_sum,
+FROM (SELECT *, coalesce(word_sum::DOUBLE / nullif(max(word_sum) OVER w, 0)::DOUBLE, 0) AS norm_sum,
              coalesce(word_nunique_cnt::DOUBLE / nullif(max(word_nunique_cnt) OVER w, 0), 0) AS norm_freq
       FROM word_totals WINDOW w AS (PARTITION BY inn_kt))
 """, "word_totals")
@@ -325,22 +326,18 @@ LEFT JOIN vectors_dt vdt ON vdt.inn_dt_index = p.inn_dt_index
 LEFT JOIN vectors_kt vkt ON vkt.inn_kt_index = p.inn_kt_index"""
 
 
+def rounded_stats(s: str) -> str:
+    return f"REPLACE (round({s}_stddev_sum, 4) AS {s}_stddev_sum, round({s}_skewness_sum, 6) AS {s}_skewness_sum)"
+
+
 def _passport(s: str) -> str:
-    return f"SELECT inn_{s}, {', '.join(category_columns(s))}, {numbers(s)} FROM passport_{s}"
+    return f"SELECT * {rounded_stats(s)} FROM (SELECT inn_{s}, {', '.join(category_columns(s))}, {numbers(s)} FROM passport_{s})"
 
 
 LOGGED = ", ".join(
     f"round(ln(1 + kt_{n}), 6) AS kt_{n}" for n in ("avg_sum", "stddev_sum", "min_sum", "max_sum", "median_sum", "buyers_count")
 )
 
-part("raw_stats_kt", """
-SELECT inn_kt, sum(c_sum_fin)::DOUBLE / count(*) AS kt_avg_sum, coalesce(stddev_samp(x), 200000.0) AS kt_stddev_sum,
-       min(x) AS kt_min_sum, max(x) AS kt_max_sum, quantile_disc(x, 0.5) AS kt_median_sum,
-       CASE WHEN min(x) = max(x) THEN 2.5 ELSE avg((x - m) ** 3) / avg((x - m) ** 2) ** 1.5 END AS kt_skewness_sum,
-       count(DISTINCT inn_dt) AS kt_buyers_count
-FROM (SELECT *, c_sum_fin::DOUBLE AS x, avg(c_sum_fin::DOUBLE) OVER (PARTITION BY inn_kt) AS m FROM train) GROUP BY inn_kt
-""", "train")
-
 part("pair_sums", """
 SELECT inn_dt, inn_kt, sum(c_sum_fin)::DOUBLE AS x FROM train GROUP BY ALL HAVING x > 0
 """, "train")
@@ -362,11 +359,11 @@ def statements() -> dict[str, str]:
         f"SELECT inn_dt, inn_kt, short_dt, c_sum::DOUBLE AS c_sum, {SUBSTRINGS} FROM payments", "payments")
     q["interactions"] = sql("SELECT * REPLACE (c_sum_fin::DOUBLE AS c_sum_fin) FROM train", "train")
     for s in ("dt", "kt"):
-        q[f"entity_stats_{s}"] = sql(f"SELECT * FROM stats_{s}", f"stats_{s}")
+        q[f"entity_stats_{s}"] = sql(f"SELECT * {rounded_stats(s)} FROM stats_{s}", f"stats_{s}")
         q[f"passport_{s}"] = sql(_passport(s), f"passport_{s}")
         q[f"label_index_{s}"] = sql(f"SELECT * FROM labels_{s}", f"labels_{s}")
     q["entity_stats_log"] = sql(
-        f"SELECT inn_kt, {LOGGED}, round(kt_skewness_sum, 6) AS kt_skewness_sum FROM raw_stats_kt", "raw_stats_kt")
+        f"SELECT inn_kt, {LOGGED}, round(kt_skewness_sum, 6) AS kt_skewness_sum FROM stats_kt", "stats_kt")
     q["code_levels"] = sql(
         "SELECT inn_dt, inn_kt, short_dt, "
         + ", ".join(f"okved_cd_{s}_lvl{i}" for s in ("dt", "kt") for i in range(1, 5)) + " FROM levelled", "levelled")
@@ -385,9 +382,9 @@ FROM counts, bounds""", "train")
     q["label_map"] = sql(
         "SELECT 'dt' AS side, inn_dt AS inn, inn_dt_index AS \"index\" FROM map_dt "
         "UNION ALL SELECT 'kt', inn_kt, inn_kt_index FROM map_kt", "map_dt", "map_kt")
-    q["passport_indexed"] = sql("SELECT * FROM indexed_dt", "indexed_dt")
-    q["passport_indexed_kt"] = sql("SELECT * FROM indexed_kt", "indexed_kt")
-    q["entity_feature_table"] = sql("SELECT * EXCLUDE (inn_kt) FROM indexed_kt", "indexed_kt")
+    q["passport_indexed"] = sql(f"SELECT * {rounded_stats('dt')} FROM indexed_dt", "indexed_dt")
+    q["passport_indexed_kt"] = sql(f"SELECT * {rounded_stats('kt')} FROM indexed_kt", "indexed_kt")
+    q["entity_feature_table"] = sql(f"SELECT * EXCLUDE (inn_kt) {rounded_stats('kt')} FROM indexed_kt", "indexed_kt")
     q["feature_sizes"] = sql(
         "SELECT *, 'dt' AS side FROM sizes_dt UNION ALL SELECT *, 'kt' FROM sizes_kt", "sizes_dt", "sizes_kt")
     q["feature_size_check"] = sql("""
@@ -413,10 +410,10 @@ truth AS (SELECT "user", inn_kt_index AS item FROM truth_dt JOIN active ON "user
 
     q["word_rows"] = sql(
         "SELECT * REPLACE (c_sum::DOUBLE AS c_sum, sum_koef::DOUBLE AS sum_koef) FROM word_rows", "word_rows")
-    q["company_totals"] = sql("SELECT * FROM company_totals", "company_totals")
-    q["word_totals"] = sql("SELECT * FROM word_totals", "word_totals")
+    q["company_totals"] = sql("SELECT * REPLACE (all_sum::DOUBLE AS all_sum) FROM company_totals", "company_totals")
+    q["word_totals"] = sql("SELECT * REPLACE (word_sum::DOUBLE AS word_sum, all_sum::DOUBLE AS all_sum) FROM word_totals", "word_totals")
     q["word_scores"] = sql("""
-SELECT * REPLACE (round(norm_sum, 9) AS norm_sum, round(norm_freq, 9) AS norm_freq, round(total_score, 9) AS total_score)
+SELECT * REPLACE (word_sum::DOUBLE AS word_sum, all_sum::DOUBLE AS all_sum, round(norm_sum, 9) AS norm_sum, round(norm_freq, 9) AS norm_freq, round(total_score, 9) AS total_score)
 FROM word_scores""", "word_scores")
     q["top_words"] = sql("""
 SELECT inn_kt, word, round(total_score, 9) AS total_score,
@@ -518,6 +515,6 @@ recs AS (SELECT d.inn_dt_index AS "user", k.inn_kt_index AS item,
          FROM vectors_dt d CROSS JOIN vectors_kt k WHERE d.inn_dt_index IN (SELECT "user" FROM truth) QUALIFY rank <= 100)"""
         + metrics("truth", "recs", "[10, 50, 100]"), "truth_dt", "vectors_dt", "vectors_kt")
     q["io_roundtrip"] = sql("""
-SELECT substr(short_dt, 1, 7) AS month, count(*) AS rows, sum(c_sum_fin)::DOUBLE AS total, 8 AS topics FROM train GROUP BY month""",
+SELECT substr(short_dt, 1, 7) AS "month", count(*) AS rows, sum(c_sum_fin)::DOUBLE AS total, 8 AS topics FROM train GROUP BY month""",
         "train")
     return q

@@ -583,7 +583,7 @@ def _(d: Demo):
         for s in SIDES
     }
     samples = d.stage(
-        "hashed_pairs", lambda: learning.hashed_pairs(_pairs(d, "kt"), features, width=1 << 14)
+        "hashed_pairs", lambda: learning.hashed_pairs(_pairs(d, "kt"), features, width=256)
     )
     return learning.score_pairs(learning.fit_pair_model(samples, iterations=10, seed=d.cfg.seed), samples)
 
@@ -636,15 +636,14 @@ def _(d: Demo):
 
 @query("io_roundtrip")
 def _(d: Demo):
-    """Interactions written by day and read back by path and by name; a saved topic model read back."""
-    path = d.scratch("interactions_by_day")
-    tables.write_table(d.train(), path, "short_dt")
-    stored = tables.scan(d.spark, path).withColumn("short_dt", F.date_format("short_dt", "yyyy-MM-dd"))
-    stored.createOrReplaceTempView("stored_interactions")
+    """Interactions written by month and read back by path and by name; a saved topic model read back."""
+    path = d.scratch("interactions_by_month")
+    tables.write_table(d.train().withColumn("month", F.substring("short_dt", 1, 7)), path, "month")
+    tables.scan(d.spark, path).createOrReplaceTempView("stored_interactions")
     named = tables.scan(d.spark, "stored_interactions")
     _topic_weights(d, "dt")
     model = LocalLDAModel.load(d.scratch("context_dt_lda_model"))
-    by_month = named.groupBy(F.substring("short_dt", 1, 7).alias("month")).agg(
+    by_month = named.groupBy(F.date_format("month", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("c_sum_fin").cast("double").alias("total")
     )
     return by_month.withColumn("topics", F.lit(model.getK()))
