@@ -28,3 +28,9 @@ def zeros(width: int) -> Column:
 def softplus(x: Column) -> Column:
     """log(1 + exp(x)) without overflow."""
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def unit(vector: str | Column) -> Column:
+    """Vector divided by its length; a zero vector stays zero."""
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    return F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))

@@ -61,6 +61,8 @@ def indexed_passport(passport: DataFrame, labels: DataFrame, side: str) -> DataF
         size = sizes.get(column, 0)
         if size <= BROADCAST_LABELS:
             result = result.join(F.broadcast(lookup), column, "left")
+        elif column == entity(side):
+            result = result.join(lookup, column, "left")  # one row per entity: no frequent key
         else:
             result = join_on_key(result, lookup, column, "left")
         result = result.withColumn(f"{column}_index", F.coalesce("_index", F.lit(size))).drop("_index")

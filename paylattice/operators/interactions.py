@@ -64,10 +64,9 @@ def build_interactions(
 ) -> DataFrame:
     """Amounts summed per pair, day, codes and bank parts; both parties must be base clients."""
     base = base_clients(clients, cfg)
+    paid = in_window(payments, window, cfg.purpose)
     joined = with_bank_parts(
-        in_window(payments, window, cfg.purpose).select(
-            "inn_dt", "inn_kt", "short_dt", "c_sum", "c_bic_kt", "c_num_kt", "c_bic_dt", "c_num_dt"
-        )
+        paid.select("inn_dt", "inn_kt", "short_dt", "c_sum", "c_bic_kt", "c_num_kt", "c_bic_dt", "c_num_dt")
     )
     for side in ("kt", "dt"):
         party = base.select(
@@ -75,5 +74,5 @@ def build_interactions(
             F.col("okved_cd").alias(f"okved_cd_{side}"),
             F.col("okato_cd").alias(f"okato_cd_{side}"),
         )
-        joined = join_on_key(joined, party, entity(side))
+        joined = join_on_key(joined, party, entity(side), count_in=paid)
     return joined.groupBy(*interaction_keys()).agg(F.sum("c_sum").alias("c_sum_fin"))

@@ -32,7 +32,7 @@ def truth_sets(
     # rows of one pair are counted before anything is joined
     pairs = test.groupBy("inn_dt", "inn_kt").agg(F.count(F.lit(1)).alias("rows"))
     known = join_on_key(pairs, indexed_dt.select("inn_dt", "inn_dt_index"), "inn_dt")
-    known = cut_lineage(join_on_key(known, indexed_kt.select("inn_kt", "inn_kt_index"), "inn_kt"))
+    known = cut_lineage(join_on_key(known, indexed_kt.select("inn_kt", "inn_kt_index"), "inn_kt", count_in=pairs))
     totals = known.groupBy(own).agg(F.sum("rows").alias("cnt")).filter(F.col("cnt") >= min_rows)
     return join_on_key(known, totals, own).select(own, partner, "cnt")
 

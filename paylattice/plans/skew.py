@@ -27,6 +27,7 @@ def join_on_key(
     keyed: DataFrame,
     on: str | list[str],
     how: str = "inner",
+    count_in: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
     salt: bool | None = None,
 ) -> DataFrame:
@@ -36,6 +37,9 @@ def join_on_key(
     fact rows never move. Otherwise keys with more than `rows_per_task` fact rows are spread:
     their fact rows get a salt and their keyed rows are repeated once per salt. There can be
     at most |facts| / rows_per_task such keys, which bounds the list that is broadcast.
+
+    Frequent keys are counted in `count_in` where given: a cheaper table that holds every fact
+    row's keys at least as often, such as the scan that earlier inner joins have since filtered.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if salt is None:
@@ -44,7 +48,8 @@ def join_on_key(
         return facts.join(keyed, keys, how)
 
     hot = (
-        facts.groupBy(*keys)
+        (facts if count_in is None else count_in)
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > rows_per_task)
         .select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts"))

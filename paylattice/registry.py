@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.ml.clustering import LocalLDAModel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -583,7 +582,7 @@ def _(d: Demo):
         for s in SIDES
     }
     samples = d.stage(
-        "hashed_pairs", lambda: learning.hashed_pairs(_pairs(d, "kt"), features, width=256)
+        "hashed_pairs", lambda: learning.hashed_pairs(_pairs(d, "kt"), features, width=128)
     )
     return learning.score_pairs(learning.fit_pair_model(samples, iterations=10, seed=d.cfg.seed), samples)
 
