@@ -312,15 +312,15 @@ def numbers(side: str) -> str:
     )
 
 
-def _pair_features() -> str:
+def _pair_features(user_side: str) -> str:
     columns = ["label", "p.inn_dt_index", "p.inn_kt_index", "short_dt"]
-    for role, s in (("user", "dt"), ("item", "kt")):
+    for role, s in (("user", user_side), ("item", other(user_side))):
         columns.append("concat_ws(',', " + ", ".join(f"{s}.{f}" for f in index_features(s)) + f") AS \"{role}\"")
         columns += [
             f"round({s}.{n.strip()}::FLOAT::DOUBLE, 3) AS double_{role}_{i}" for i, n in enumerate(numbers(s).split(","))
         ]
         columns += [f"64 AS {s}_width", f"round(coalesce(v{s}.embedding[8]::DOUBLE, 0), 6) AS {s}_emb_7"]
-    return f"""SELECT {", ".join(columns)} FROM pairs_kt p
+    return f"""SELECT {", ".join(columns)} FROM pairs_{other(user_side)} p
 JOIN indexed_dt dt ON dt.inn_dt_index = p.inn_dt_index JOIN indexed_kt kt ON kt.inn_kt_index = p.inn_kt_index
 LEFT JOIN vectors_dt vdt ON vdt.inn_dt_index = p.inn_dt_index
 LEFT JOIN vectors_kt vkt ON vkt.inn_kt_index = p.inn_kt_index"""
@@ -464,7 +464,8 @@ slots AS (SELECT *, i // 256 AS batch, i % 256 AS slot, count(*) OVER (PARTITION
 SELECT a.batch, a.slot, shift::INTEGER AS shift, a.inn_dt_index, a.inn_kt_index, b.inn_kt_index AS negative
 FROM slots a CROSS JOIN (SELECT unnest([1, 2]) AS shift) JOIN slots b ON b.batch = a.batch AND b.slot = (a.slot + shift) % a.n
 WHERE a.inn_kt_index <> b.inn_kt_index""", "positives")
-    q["pair_features"] = sql(_pair_features(), "pairs_kt", "indexed_dt", "indexed_kt", "vectors_dt", "vectors_kt")
+    for key, s in (("pair_features", "dt"), ("pair_features_reverse", "kt")):
+        q[key] = sql(_pair_features(s), f"pairs_{other(s)}", "indexed_dt", "indexed_kt", "vectors_dt", "vectors_kt")
     q["epoch_length"] = sql("""
 SELECT 'train' AS part, count(*) * 2 AS samples, floor(count(*) * 2 / 4096)::BIGINT AS batches FROM train
 UNION ALL SELECT 'val', count(*) * 2, ceil(count(*) * 2 / 4096)::BIGINT FROM test""", "train", "test")
@@ -507,14 +508,18 @@ UNION ALL SELECT inn_dt, client_name, inn_kt, rank FROM requested""", "requests"
 numbered AS (SELECT word_v2, (row_number() OVER (ORDER BY total DESC, word_v2) - 1)::INTEGER AS word_id FROM vocabulary)
 SELECT doc_id, word_v2, word_id, n FROM document_bags JOIN numbered USING (word_v2)""", "document_bags")
 
-    q["offline_evaluation"] = sql("""
-, truth AS (SELECT inn_dt_index AS "user", inn_kt_index AS item FROM truth_dt),
-recs AS (SELECT d.inn_dt_index AS "user", k.inn_kt_index AS item,
-                row_number() OVER (PARTITION BY d.inn_dt_index ORDER BY
-                  round(list_cosine_similarity(d.embedding::DOUBLE[], k.embedding::DOUBLE[]), 9) DESC, k.inn_kt_index) AS rank
-         FROM vectors_dt d CROSS JOIN vectors_kt k WHERE d.inn_dt_index IN (SELECT "user" FROM truth) QUALIFY rank <= 100)"""
-        + metrics("truth", "recs", "[10, 50, 100]"), "truth_dt", "vectors_dt", "vectors_kt")
+    for key, s in (("offline_evaluation", "dt"), ("offline_evaluation_reverse", "kt")):
+        user, item = f"u.inn_{s}_index", f"i.inn_{other(s)}_index"
+        q[key] = sql(f"""
+, truth AS (SELECT inn_{s}_index AS "user", inn_{other(s)}_index AS item FROM truth_{s}),
+recs AS (SELECT {user} AS "user", {item} AS item,
+                row_number() OVER (PARTITION BY {user} ORDER BY
+                  round(list_cosine_similarity(u.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) DESC, {item}) AS rank
+         FROM vectors_{s} u CROSS JOIN vectors_{other(s)} i
+         WHERE {user} IN (SELECT "user" FROM truth) QUALIFY rank <= 100)"""
+            + metrics("truth", "recs", "[10, 50, 100]"), f"truth_{s}", "vectors_dt", "vectors_kt")
     q["io_roundtrip"] = sql("""
-SELECT substr(short_dt, 1, 7) AS "month", count(*) AS rows, sum(c_sum_fin)::DOUBLE AS total, 8 AS topics FROM train GROUP BY month""",
-        "train")
+SELECT substr(short_dt, 1, 7) AS "month", count(*) AS rows, sum(c_sum_fin)::DOUBLE AS total, 8 AS topics,
+       (SELECT count(DISTINCT word_v2) FROM payment_words) AS words FROM train GROUP BY "month\"""",
+        "train", "payment_words")
     return q

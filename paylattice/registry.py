@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.clustering import LocalLDAModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -434,23 +435,30 @@ def _side_features(d: Demo, side: str) -> DataFrame:
     return pairs.side_features(d.indexed(side), side, vectors, d.cfg.embedding_width)
 
 
-@query("pair_features")
-def _(d: Demo):
-    features = {s: d.stage(f"{s}_side_features", lambda s=s: _side_features(d, s)) for s in SIDES}
-    width = d.cfg.embedding_width
-    samples = pairs.pair_features(_pairs(d, "kt"), features)
-    samples = pairs.fill_vectors(samples, {"dt_emb": width, "kt_emb": width})
-    flat = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("user", "item")]
-    for role in ("user", "item"):
-        flat += [
-            F.round(F.get(f"double_{role}", F.lit(i)).cast("double"), 3).alias(f"double_{role}_{i}") for i in range(7)
-        ]
-    for side in SIDES:
-        flat += [
-            F.size(f"{side}_emb").alias(f"{side}_width"),
-            F.round(F.get(f"{side}_emb", F.lit(7)).cast("double"), 6).alias(f"{side}_emb_7"),
-        ]
-    return samples.select("label", "inn_dt_index", "inn_kt_index", "short_dt", *flat)
+def _pair_features(user_side: str):
+    def build(d: Demo):
+        features = {s: d.stage(f"{s}_side_features", lambda s=s: _side_features(d, s)) for s in SIDES}
+        width = d.cfg.embedding_width
+        samples = pairs.pair_features(_pairs(d, other(user_side)), features, user_side)
+        samples = pairs.fill_vectors(samples, {"dt_emb": width, "kt_emb": width})
+        flat = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("user", "item")]
+        for role in ("user", "item"):
+            flat += [
+                F.round(F.get(f"double_{role}", F.lit(i)).cast("double"), 3).alias(f"double_{role}_{i}")
+                for i in range(7)
+            ]
+        for side in SIDES:
+            flat += [
+                F.size(f"{side}_emb").alias(f"{side}_width"),
+                F.round(F.get(f"{side}_emb", F.lit(7)).cast("double"), 6).alias(f"{side}_emb_7"),
+            ]
+        return samples.select("label", "inn_dt_index", "inn_kt_index", "short_dt", *flat)
+
+    return build
+
+
+query("pair_features")(_pair_features("dt"))
+query("pair_features_reverse")(_pair_features("kt"))
 
 
 @query("epoch_length")
@@ -546,8 +554,9 @@ def _topic_weights(d: Demo, side: str) -> DataFrame:
     def build() -> DataFrame:
         window = d.payment_words().filter(F.col("short_dt").between(*d.cfg.train))
         bags = d.stage(f"{side}_bags", lambda: topics.entity_documents(window, entity(side)))
-        model, _, vectors = topics.fit_topics(bags, side, d.cfg)
+        model, vocab, vectors = topics.fit_topics(bags, side, d.cfg)
         tables.save_model(model, d.scratch(f"context_{side}_lda_model"))
+        tables.save_model(topics.vocabulary_model(vocab), d.scratch(f"context_{side}_cv_model"))
         return topics.topic_weights(model, vectors, side, d.cfg.n_topics)
 
     return d.stage(f"{side}_topic_embeddings", build)
@@ -587,7 +596,7 @@ def _(d: Demo):
     return learning.score_pairs(learning.fit_pair_model(samples, iterations=10, seed=d.cfg.seed), samples)
 
 
-def _tower_vectors(d: Demo, side: str) -> DataFrame:
+def _tower_vectors(d: Demo, side: str, source: str = "all") -> DataFrame:
     cfg = d.cfg
     sizes = {r["feature"]: r["size"] for r in indexing.feature_sizes(d.indexed(side), side).collect()}
     tower = towers.seeded_tower(sizes, side, cfg.tower_width, cfg.embedding_width, cfg.n_topics, cfg.seed)
@@ -606,7 +615,7 @@ def _tower_vectors(d: Demo, side: str) -> DataFrame:
     log_features = d.stage(
         f"{side}_log_features", lambda: indexing.feature_table(profiles.log_stats(d.indexed(side), side), side)
     )
-    ids = retrieval.entity_ids("all", d.indexed(side), d.truth(side), index).toDF("id")
+    ids = retrieval.entity_ids(source, d.indexed(side), d.truth(side), index).toDF("id")
     return towers.tower_embeddings(ids, log_features, weights, tower, side, cfg.tower_width, vectors)
 
 
@@ -615,34 +624,59 @@ def _(d: Demo):
     return _tower_vectors(d, "kt")
 
 
-@query("offline_evaluation")
+def _offline(side: str):
+    """Truth entities of one side against all entities of the other by their external embeddings."""
+
+    def build(d: Demo):
+        truth = ranking.truth_rows(d.truth(side), side)
+
+        def users() -> DataFrame:
+            known = _vectors(d, side).select(F.col(f"{entity(side)}_index").alias("user"), "embedding")
+            return ranking.restrict_users(known, truth.distinct())
+
+        def items() -> DataFrame:
+            return _vectors(d, other(side)).select(F.col(f"{entity(other(side))}_index").alias("item"), "embedding")
+
+        found = offline.evaluate_offline(
+            d.spark, d.scratch(f"offline_{side}"), users, items, truth, d.cfg.top_k, d.cfg.metrics_k,
+            {"vectors": "external", "side": side},
+        )
+        return rounded(found, {"value": 9})
+
+    return build
+
+
+query("offline_evaluation")(_offline("dt"))
+query("offline_evaluation_reverse")(_offline("kt"))
+
+
+@query("offline_evaluation_towers")
 def _(d: Demo):
-    """Truth users against all payees by their external embeddings."""
+    """The whole chain: tower vectors of truth payers and all payees, nearest payees, metrics."""
     truth = ranking.truth_rows(d.truth("dt"), "dt")
 
     def users() -> DataFrame:
-        known = _vectors(d, "dt").select(F.col("inn_dt_index").alias("user"), "embedding")
-        return ranking.restrict_users(known, truth.distinct())
+        return _tower_vectors(d, "dt", "test_dict").select(F.col("id").alias("user"), "embedding")
 
     def items() -> DataFrame:
-        return _vectors(d, "kt").select(F.col("inn_kt_index").alias("item"), "embedding")
+        return _tower_vectors(d, "kt").select(F.col("id").alias("item"), "embedding")
 
-    found = offline.evaluate_offline(
-        d.spark, d.scratch("offline"), users, items, truth, d.cfg.top_k, d.cfg.metrics_k, {"vectors": "external"}
+    return offline.evaluate_offline(
+        d.spark, d.scratch("offline_towers"), users, items, truth, d.cfg.top_k, d.cfg.metrics_k, {"vectors": "tower"}
     )
-    return rounded(found, {"value": 9})
 
 
 @query("io_roundtrip")
 def _(d: Demo):
-    """Interactions written by month and read back by path and by name; a saved topic model read back."""
+    """Interactions written by month and read back by path and by name; saved topic models read back."""
     path = d.scratch("interactions_by_month")
     tables.write_table(d.train().withColumn("month", F.substring("short_dt", 1, 7)), path, "month")
     tables.scan(d.spark, path).createOrReplaceTempView("stored_interactions")
     named = tables.scan(d.spark, "stored_interactions")
     _topic_weights(d, "dt")
     model = LocalLDAModel.load(d.scratch("context_dt_lda_model"))
+    counter = CountVectorizerModel.load(d.scratch("context_dt_cv_model"))
     by_month = named.groupBy(F.date_format("month", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("c_sum_fin").cast("double").alias("total")
     )
-    return by_month.withColumn("topics", F.lit(model.getK()))
+    return by_month.withColumns({"topics": F.lit(model.getK()), "words": F.lit(len(counter.vocabulary))})

@@ -15,8 +15,9 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join partition even where that costs one more exchange after the join
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # percentile digests stay in the hash map instead of falling back to a sort after 128 groups
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
+    # percentile digests of so many groups stay in the hash map before Spark falls back to a sort;
+    # a full digest takes about half a megabyte, so this is at most half a gigabyte per task
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
 }
 
 _local_dirs: dict[str, str] = {}
