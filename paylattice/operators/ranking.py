@@ -93,33 +93,34 @@ def user_metrics(
         .withColumn("found", F.sum("fresh").over(upto))
         .withColumn("gain", F.lit(1.0) / F.log2(F.col("rank") + 1))
     )
-    per_cut = []
-    for k in cuts:
-        inside = F.col("rank") <= k
-        per_cut += [
-            F.sum(F.when(inside & (F.col("fresh") == 1), F.col("found") / F.col("rank"))).alias(f"ap_{k}"),
-            F.sum(F.when(inside, F.col("fresh"))).alias(f"hits_{k}"),
-            F.sum(F.when(inside, F.col("gain"))).alias(f"dcg_{k}"),
-        ]
-    scored = sizes.join(hits.groupBy("user").agg(*per_cut), "user", "left")
-
+    # every step up to here is grouped by user, so neither the join nor the sums shuffle again
+    inside = F.col("rank") <= F.col("k")
+    scored = (
+        sizes.join(hits.select("user", "rank", "fresh", "found", "gain"), "user", "left")
+        .withColumn("k", F.explode(F.array(*[F.lit(k) for k in cuts])))
+        .groupBy("user", "k", "n_truth", "unknown")
+        .agg(
+            F.coalesce(F.sum(F.when(inside & (F.col("fresh") == 1), F.col("found") / F.col("rank"))), F.lit(0.0)).alias("ap"),
+            F.coalesce(F.sum(F.when(inside, F.col("fresh"))), F.lit(0)).alias("hits"),
+            F.coalesce(F.sum(F.when(inside, F.col("gain"))), F.lit(0.0)).alias("dcg"),
+        )
+    )
     # ideal gain of 1..deepest items: a constant list, no per-row work
     gains = accumulate(1.0 / math.log2(i + 1) for i in range(1, deepest + 1))
     ideal = F.array(*[F.lit(g) for g in gains])
-    rows = []
-    for k in cuts:
-        ap, found, dcg = (F.coalesce(F.col(f"{name}_{k}"), F.lit(0.0)) for name in ("ap", "hits", "dcg"))
-        best = F.least("n_truth", F.lit(k))
-        rows.append(
-            F.struct(
-                F.lit(k).alias("k"),
-                F.when(F.col("unknown"), 1.0).when(best > 0, ap / best).otherwise(0.0).alias("MAP"),
-                F.when(F.col("unknown"), 1.0).when(best > 0, found / F.col("n_truth")).otherwise(0.0).alias("Recall"),
-                (found / F.lit(float(k))).alias("Precision"),
-                F.when(best > 0, dcg / F.get(ideal, (best - 1).cast("int"))).otherwise(0.0).alias("NDCG"),
-            )
-        )
-    return scored.select("user", F.explode(F.array(*rows)).alias("m")).select("user", "m.*")
+    best = F.least("n_truth", "k")
+
+    def value(known, name: str, unknown: float = 0.0):
+        return F.when(F.col("unknown"), unknown).when(best > 0, known).otherwise(0.0).alias(name)
+
+    return scored.select(
+        "user",
+        "k",
+        value(F.col("ap") / best, "MAP", unknown=1.0),
+        value(F.col("hits") / F.col("n_truth"), "Recall", unknown=1.0),
+        (F.col("hits") / F.col("k")).alias("Precision"),
+        value(F.col("dcg") / F.get(ideal, (best - 1).cast("int")), "NDCG"),
+    )
 
 
 def ranking_metrics(
