@@ -91,6 +91,7 @@ class Settings:
     """One run of the pipeline; defaults are the production values of the data set."""
 
     report_dt: str = "2024-09-30"
+    segment_column: str = "org_segment"
     segments: tuple[str, ...] = ("Микро", "Малые")
     kinds: tuple[str, ...] = ("ИП", "ЮЛ")
     purpose: str = "оплата по договору"

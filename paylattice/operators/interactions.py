@@ -13,7 +13,7 @@ def base_clients(clients: DataFrame, cfg: Settings, live_only: bool = True) -> D
     """Clients of one snapshot in the wanted segments and legal forms (`active_flg` 0 means live)."""
     wanted = (
         (F.col("report_dt") == cfg.report_dt)
-        & F.col("org_segment_sber").isin(*cfg.segments)
+        & F.col(cfg.segment_column).isin(*cfg.segments)
         & F.col("type").isin(*cfg.kinds)
     )
     if live_only:

@@ -37,7 +37,7 @@ def other(side: str) -> str:
 
 part("clients", """
 SELECT unnest(CASE WHEN key % 4 = 0 THEN ['2024-09-30'] ELSE ['2024-09-30', '2024-06-30'] END) AS report_dt,
-       inn, segment AS org_segment_sber,
+       inn, segment AS org_segment,
        CASE WHEN key % 10 = 9 THEN 'branch' WHEN key % 2 = 0 THEN 'company' ELSE 'trader' END AS type,
        CASE WHEN balance < -900 THEN 1 ELSE 0 END AS active_flg,
        CASE WHEN key % 6 > 0 THEN array_to_string(list_slice([n_regionkey::VARCHAR, n_nationkey::VARCHAR,
@@ -54,7 +54,7 @@ JOIN nation ON n_nationkey = nation
 part("base", """
 SELECT inn, okved_cd, okato_cd FROM clients
 WHERE report_dt = '2024-09-30' AND type IN ('company', 'trader') AND active_flg = 0
-  AND org_segment_sber IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD')
+  AND org_segment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD')
 """, "clients")
 
 
@@ -222,13 +222,13 @@ FROM (SELECT *, coalesce(word_sum::DOUBLE / nullif(max(word_sum) OVER w, 0)::DOU
       FROM word_totals WINDOW w AS (PARTITION BY inn_kt))
 """, "word_totals")
 part("word_map", """
-SELECT word, (min(p_size) % 5)::DOUBLE AS allbiz_weights, cat1, cat2
+SELECT word, (min(p_size) % 5)::DOUBLE AS map_weight, cat1, cat2
 FROM (SELECT unnest(string_split(p_name, ' ')) AS word, p_size, p_type AS cat1, p_brand AS cat2 FROM part)
 GROUP BY word, cat1, cat2
 """)
 part("categorised", """
 SELECT inn_kt, word, word_sum, cat1, cat2, total_score FROM word_scores JOIN word_map USING (word)
-WHERE allbiz_weights < 3 AND cat1 IS NOT NULL AND cat2 IS NOT NULL AND word_sum IS NOT NULL
+WHERE map_weight < 3 AND cat1 IS NOT NULL AND cat2 IS NOT NULL AND word_sum IS NOT NULL
 """, "word_scores", "word_map")
 part("category_scores", """
 SELECT inn_kt, cat1, cat2, sum(total_score::DECIMAL(20,12)) AS total_score, sum(word_sum) AS word_sum
@@ -428,7 +428,7 @@ FROM category_scores c""", "category_scores")
     q["word_inventory"] = sql("""
 SELECT 'companies' AS name, count(DISTINCT inn_kt) AS value FROM word_totals
 UNION ALL SELECT 'map_words', count(DISTINCT word) FROM word_map
-UNION ALL SELECT 'usable_map_words', count(DISTINCT word) FROM word_map WHERE allbiz_weights < 3""", "word_totals", "word_map")
+UNION ALL SELECT 'usable_map_words', count(DISTINCT word) FROM word_map WHERE map_weight < 3""", "word_totals", "word_map")
     q["source_csv_map"] = sql("SELECT * FROM word_map", "word_map")
 
     q["embedding_pack"] = sql("""

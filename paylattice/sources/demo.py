@@ -54,7 +54,7 @@ class Demo:
             F.col("c_custkey").alias("key"),
             F.col("c_nationkey").alias("nation"),
             F.col("c_acctbal").alias("balance"),
-            F.col("c_mktsegment").alias("org_segment_sber"),
+            F.col("c_mktsegment").alias("org_segment"),
         )
         names = F.array(*[F.lit(s) for s in SEGMENTS])
         suppliers = self.table("supplier").select(
@@ -62,7 +62,7 @@ class Demo:
             F.col("s_suppkey").alias("key"),
             F.col("s_nationkey").alias("nation"),
             F.col("s_acctbal").alias("balance"),
-            F.get(names, (F.col("s_suppkey") % 5).cast("int")).alias("org_segment_sber"),
+            F.get(names, (F.col("s_suppkey") % 5).cast("int")).alias("org_segment"),
         )
         key = F.col("key")
         parts = F.array(
@@ -81,7 +81,7 @@ class Demo:
         return base.select(
             F.explode(dates).alias("report_dt"),
             "inn",
-            "org_segment_sber",
+            "org_segment",
             kind.alias("type"),
             F.when(F.col("balance") < -900, 1).otherwise(0).alias("active_flg"),
             F.when(depth > 0, F.array_join(F.slice(parts, F.lit(1), depth), ".")).alias("okved_cd"),
@@ -135,8 +135,8 @@ class Demo:
             self.table("part")
             .select(F.explode(F.split("p_name", " ")).alias("word"), "p_type", "p_brand", "p_size")
             .groupBy("word", F.col("p_type").alias("cat1"), F.col("p_brand").alias("cat2"))
-            .agg((F.min("p_size") % 5).cast("double").alias("allbiz_weights"))
-            .select("word", "allbiz_weights", "cat1", "cat2")
+            .agg((F.min("p_size") % 5).cast("double").alias("map_weight"))
+            .select("word", "map_weight", "cat1", "cat2")
         )
 
     def embeddings_wide(self) -> DataFrame:
@@ -189,8 +189,7 @@ class Demo:
     def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Write a shared table once per application and data folder, then read it back.
 
-        The reference passes every table between its parts through files in the same way;
-        a written table survives lost executors and gives Catalyst true sizes.
+        A written table survives lost executors and gives Catalyst true sizes.
         """
         path = self.scratch(name)
         if path not in _written:

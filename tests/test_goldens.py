@@ -70,7 +70,7 @@ def test_bank_parts_and_window(spark):
 def test_base_keeps_flag_zero_of_one_snapshot(spark):
     rows = [("2024-09-30", "a", "s", "t", 0), ("2024-09-30", "b", "s", "t", 1), ("2024-06-30", "c", "s", "t", 0),
             ("2024-09-30", "d", "other", "t", 0)]
-    df = spark.createDataFrame(rows, "report_dt string, inn string, org_segment_sber string, type string, active_flg int")
+    df = spark.createDataFrame(rows, "report_dt string, inn string, org_segment string, type string, active_flg int")
     cfg = Settings(segments=("s",), kinds=("t",))
     assert [r["inn"] for r in interactions.base_clients(df, cfg).collect()] == ["a"]
     assert interactions.base_clients(df, cfg, live_only=False).count() == 2
@@ -208,7 +208,7 @@ def test_words_ties_zero_amounts_and_uncategorised(spark):
     assert scores.filter("inn_kt = 'z'").first()["total_score"] == 0.0
     mapping = spark.createDataFrame(
         [("w1", 1.0, "A", "a"), ("w1", 2.0, "B", "b"), ("w2", 0.0, "A", "a"), ("w3", 9.0, "A", "a")],
-        "word string, allbiz_weights double, cat1 string, cat2 string")
+        "word string, map_weight double, cat1 string, cat2 string")
     categorised = words.word_categories(scores, mapping, cfg)
     assert categorised.filter("inn_kt = 'c'").count() == 3  # w3 weighs too much, w4 has no category
     top = words.top_words(categorised.filter("inn_kt = 'c'"), cfg)

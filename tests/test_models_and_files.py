@@ -122,7 +122,7 @@ def test_pair_model_scores_every_pair(spark):
 
 def test_word_map_csv_keeps_the_schema(spark, tmp_path):
     path = tmp_path / "map.csv"
-    path.write_text('word,allbiz_weights,cat1,cat2\nlamp,2,"Home, light",Lamps\n007,,A,\n')
+    path.write_text('word,map_weight,cat1,cat2\nlamp,2,"Home, light",Lamps\n007,,A,\n')
     rows = [tuple(r) for r in tables.read_word_map(spark, str(path)).collect()]
     assert rows == [("lamp", 2.0, "Home, light", "Lamps"), ("007", None, "A", None)]
 
