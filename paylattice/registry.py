@@ -679,4 +679,4 @@ def _(d: Demo):
     by_month = named.groupBy(F.date_format("month", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("c_sum_fin").cast("double").alias("total")
     )
-    return by_month.withColumns({"topics": F.lit(model.getK()), "words": F.lit(len(counter.vocabulary))})
+    return by_month.withColumns({"topics": F.lit(model.getK()), "words": F.lit(len(counter.vocabulary)).cast("bigint")})
