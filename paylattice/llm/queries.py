@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylattice.llm import chat, mixing, packing, quality_rules, sharding, topk, url_filter
+from paylattice.llm import chat, line_dedup, mixing, packing, quality_rules, sharding, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,3 +164,9 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op6_line_chunks")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.remove_repeated_chunks(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "line_dedup.*", "text", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
