@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylattice.llm import chat, line_dedup, mixing, packing, quality_rules, sharding, topk, url_filter
+from paylattice.llm import chat, line_dedup, mixing, packing, quality_rules, sharding, suffix_dedup, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -170,3 +170,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 def _(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_dedup.remove_repeated_chunks(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "line_dedup.*", "text", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op10_suffix_array")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeated_strings(table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id", *[f"suffix_dedup.{c}" for c in ("n_bytes", "n_removed", "n_spans")],
+        F.sha2("suffix_dedup.kept", 256).alias("kept_sha256"),
+    )
