@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylattice.llm import chat, line_dedup, mixing, packing, quality_rules, sharding, suffix_dedup, topk, url_filter
+from paylattice.llm import chat, jaccard_join, line_dedup, mixing, packing, quality_rules, sharding, suffix_dedup, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -179,3 +179,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *[f"suffix_dedup.{c}" for c in ("n_bytes", "n_removed", "n_spans")],
         F.sha2("suffix_dedup.kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op5_chosen_path_join")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
