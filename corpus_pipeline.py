@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylattice.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
-from paylattice.llm.common import cut
+from paylattice.llm.common import cut, fresh
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of lines go from the texts; every document stays, `n_chars` follows its text."""
-    cleaned = line_dedup.remove_repeated_chunks(docs).drop("line_dedup")
+    report, = fresh(docs, "report")
+    cleaned = line_dedup.remove_repeated_chunks(docs, out=report).drop(report)
     if "n_chars" not in docs.columns:
         return cleaned
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
@@ -35,8 +36,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, which may be not at all."""
-    taken = mixing.mix(docs).filter("mix.copies > 0")
-    return taken.withColumn("mix", F.explode(F.sequence(F.lit(1).cast("long"), "mix.copies"))).select(*docs.columns)
+    mix, = fresh(docs, "mix")
+    taken = mixing.mix(docs, out=mix).filter(F.col(mix)["copies"] > 0)
+    copies = F.sequence(F.lit(1).cast("long"), F.col(mix)["copies"])
+    return taken.withColumn(mix, F.explode(copies)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -114,15 +114,17 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, costs: tuple[int, ...
 
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total: float | None = None, seed: int = 11,
-    most: int = 3, sources: Column | None = None, text: str = "text",
+    most: int = 3, sources: Column | None = None, text: str = "text", out: str = "mix",
 ) -> DataFrame:
-    """All rows of `docs` with a struct column `mix`: size, source_size, target, copies and taken.
+    """All rows of `docs` with a struct column `out`: size, source_size, target, copies and taken.
+
+    A column of that name is replaced.
 
     Sources in order of code points (null last) have the given weights in turn. `sources` is an array of
     the sources of a document, by default the one in column `source`. For documents of several sources
     `source_size` and `target` are those of the first. `total` defaults to the words of all documents.
     """
-    unit, size, pattern = fresh(docs, "unit", "size", "pattern")
+    unit, size, pattern, share = fresh(docs, "unit", "size", "pattern", "share")
     members = F.array(F.col("source").cast("string")) if sources is None else F.array_sort(F.array_distinct(F.coalesce(sources, F.array())))
     keyed = docs.withColumns({
         unit: F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.lit(seed), F.col(text)).alias("h")),
@@ -160,18 +162,15 @@ def mix(
     )
     chosen = _select(units.join(F.broadcast(plan), pattern), pattern, unit)
     placed = chosen.select(
-        F.col(unit).alias("_u"), F.col(pattern).alias("_p"), "copies", "source_size", "target"
+        F.col(unit).alias("_u"), F.col(pattern).alias("_p"), F.struct("copies", "source_size", "target").alias(share)
     )
-    return (
-        keyed.join(placed, (keyed[unit] == placed["_u"]) & (keyed[pattern] == placed["_p"]))
-        .withColumn(
-            "mix",
-            F.struct(
-                F.col(size).alias("size"), "source_size", "target", "copies", (F.col(size) * F.col("copies")).alias("taken")
-            ),
-        )
-        .select(*[keyed[c] for c in docs.columns], "mix")
+    of = F.col(share)
+    result = F.struct(
+        F.col(size).alias("size"), of["source_size"].alias("source_size"), of["target"].alias("target"),
+        of["copies"].alias("copies"), (F.col(size) * of["copies"]).alias("taken"),
     )
+    joined = keyed.join(placed, (keyed[unit] == placed["_u"]) & (keyed[pattern] == placed["_p"]))
+    return joined.select(*[keyed[c] for c in docs.columns if c.lower() != out.lower()], result.alias(out))
 
 
 def _select(units: DataFrame, pattern: str, unit: str) -> DataFrame:

@@ -22,9 +22,10 @@ BUCKET_BYTES = 16 << 20
 
 
 def scatter_and_shuffle(
-    docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, text: str = "text"
+    docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, text: str = "text",
+    out: str = "place",
 ) -> DataFrame:
-    """All rows and columns of `docs`, with a struct column `place`: shard and slot."""
+    """All rows and columns of `docs`, with a struct column `out`: shard and slot. A column of that name is replaced."""
     size = total_text_bytes(docs, text)
     buckets = max(1, -(-size // bucket_bytes))
     bucket, row, index = fresh(docs, "bucket", "row", "index")
@@ -47,10 +48,10 @@ def scatter_and_shuffle(
     offsets = counts.select(bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
     position = F.col("_offset") + F.col(index)
     return shuffled.join(offsets, bucket).select(
-        f"{row}.*",
+        *[F.col(row)[c].alias(c) for c in docs.columns if c.lower() != out.lower()],
         F.struct(
             (position % shards).cast("int").alias("shard"), F.floor(position / shards).cast("long").alias("slot")
-        ).alias("place"),
+        ).alias(out),
     )
 
 
