@@ -66,9 +66,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
-def remove_repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All rows of `docs` with repeated chunks taken out of the text, and a struct column `line_dedup`:
-    lines and removed_lines of each row."""
+def remove_repeated_chunks(docs: DataFrame, text: str = "text", out: str = "line_dedup") -> DataFrame:
+    """All rows of `docs` with repeated chunks taken out of the text, and a struct column `out`: lines and
+    removed_lines of each row. A column of that name is replaced."""
     spark = docs.sparkSession
     ship_package(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
@@ -94,7 +94,7 @@ def remove_repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
 
     # bytes of every occurrence of a repeated hash
     per_row = hits.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "n", "h1", "h2"))).alias("spans"))
-    touched = keyed.join(per_row, keyed["id"].eqNullSafe(per_row["id"]) & (keyed["th"] == per_row["th"])).select(
+    touched = keyed.join(per_row.hint("merge"), keyed["id"].eqNullSafe(per_row["id"]) & (keyed["th"] == per_row["th"])).select(
         "text", "spans"
     )
     bodies = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("chunk", pa.string())])
@@ -127,15 +127,14 @@ def remove_repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     def without(body: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([_without(b, s) for b, s in zip(body.to_pylist(), spans.to_pylist())], pa.string())
 
-    th, out, lost = fresh(docs, "th", "out", "lost")
+    th, kept, lost = fresh(docs, "th", "kept", "lost")
     named = docs.withColumn(th, F.xxhash64(text))
     gone = doomed.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias(lost))
-    joined = named.join(gone, named["doc_id"].eqNullSafe(gone["_id"]) & (named[th] == gone["_th"]), "left")
+    joined = named.join(gone.hint("merge"), named["doc_id"].eqNullSafe(gone["_id"]) & (named[th] == gone["_th"]), "left")
     n_lost = F.coalesce(F.aggregate(lost, F.lit(0).cast("long"), lambda acc, s: acc + s["n"]), F.lit(0))
-    kept = without(F.col(text), F.col(lost))
-    return joined.withColumn(out, kept).select(
-        *[F.col(out).alias(c) if c == text else named[c] for c in docs.columns],
-        F.struct(_line_count(F.col(text)).alias("lines"), n_lost.cast("long").alias("removed_lines")).alias("line_dedup"),
+    return joined.withColumn(kept, without(F.col(text), F.col(lost))).select(
+        *[F.col(kept).alias(c) if c == text else named[c] for c in docs.columns if c.lower() != out.lower()],
+        F.struct(_line_count(F.col(text)).alias("lines"), n_lost.cast("long").alias("removed_lines")).alias(out),
     )
 
 
