@@ -66,38 +66,23 @@ def numeric_features(side: str) -> list[str]:
     return [f"{side}_{n}" for n in names]
 
 
-# Names given to the attention weights of one payee, in token order:
-# 12 categories without the deepest code level, the numeric block, the external embedding.
-IMPORTANCE_NAMES = (
-    "id_weight",
-    "okved_weight",
-    "okato_weight",
-    "bic_34_weight",
-    "bic_56_weight",
-    "bic_79_weight",
-    "num_13_weight",
-    "num_45_weight",
-    "num_68_weight",
-    "okved_lvl1_weight",
-    "okved_lvl2_weight",
-    "okved_lvl3_weight",
-    "statistics_weight",
-    "embedding_weight",
-)
+def importance_names(side: str, blocks: tuple[str, ...] = ("numbers", "embedding", "topic")) -> list[str]:
+    """Names of the attention weights of one entity, one per token: the indexed features, then the blocks."""
+    return [f"{c}_weight" for c in (*indexed_columns(side), *blocks)]
 
 
 @dataclass(frozen=True)
 class Settings:
-    """One run of the pipeline; defaults are the production values of the data set."""
-
-    report_dt: str = "2024-09-30"
+    """One run of the pipeline. What depends on the data (dates, categories, purpose) has no default."""
+
+    report_dt: str
+    segments: tuple[str, ...]
+    kinds: tuple[str, ...]
+    purpose: str
+    train: tuple[str, str]
+    test: tuple[str, str]
+    words_since: str
     segment_column: str = "org_segment"
-    segments: tuple[str, ...] = ("Микро", "Малые")
-    kinds: tuple[str, ...] = ("ИП", "ЮЛ")
-    purpose: str = "оплата по договору"
-    train: tuple[str, str] = ("2025-01-01", "2025-02-01")
-    test: tuple[str, str] = ("2025-06-02", "2025-09-01")
-    words_since: str = "2025-03-01"
     min_test_rows: int = 15
     embedding_width: int = 256
     n_topics: int = 50
@@ -108,6 +93,10 @@ class Settings:
     top_k: int = 100
     metrics_k: tuple[int, ...] = (10, 50, 100)
     tower_width: int = 128
+    als_rank: int = 64
+    als_iterations: int = 15
+    fm_factors: int = 16
+    fm_iterations: int = 20
     map_weight_below: int = 3
     top_words: int = 5
     sum_weight: float = 0.7

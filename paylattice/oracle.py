@@ -2,8 +2,33 @@
 
 from __future__ import annotations
 
-from paylattice.config import IMPORTANCE_NAMES, category_columns, index_features, indexed_columns
-from paylattice.operators.interactions import interaction_keys
+# Column lists are written out here, so that a column the operators lose is missed by the comparison.
+
+
+def category_columns(side: str) -> list[str]:
+    names = """okved_cd_{s} okato_cd_{s} bic_{s}_34 bic_{s}_56 bic_{s}_79 num_{s}_13 num_{s}_45 num_{s}_68
+               okved_cd_{s}_lvl1 okved_cd_{s}_lvl2 okved_cd_{s}_lvl3 okved_cd_{s}_lvl4"""
+    return names.format(s=side).split()
+
+
+def indexed_columns(side: str) -> list[str]:
+    return [f"inn_{side}", *category_columns(side)]
+
+
+def index_features(side: str) -> list[str]:
+    return [f"{c}_index" for c in indexed_columns(side)]
+
+
+INTERACTION_KEYS = """
+inn_dt inn_kt short_dt okved_cd_dt okato_cd_dt okved_cd_kt okato_cd_kt
+bic_dt_34 bic_dt_56 bic_dt_79 num_dt_13 num_dt_45 num_dt_68
+bic_kt_34 bic_kt_56 bic_kt_79 num_kt_13 num_kt_45 num_kt_68
+""".split()
+KT_WEIGHTS = """
+inn_kt_weight okved_cd_kt_weight okato_cd_kt_weight bic_kt_34_weight bic_kt_56_weight bic_kt_79_weight
+num_kt_13_weight num_kt_45_weight num_kt_68_weight okved_cd_kt_lvl1_weight okved_cd_kt_lvl2_weight
+okved_cd_kt_lvl3_weight okved_cd_kt_lvl4_weight numbers_weight embedding_weight topic_weight
+""".split()
 
 # Named subqueries: name -> (subqueries it reads, text)
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -90,7 +115,7 @@ part("windowed", """
 SELECT * FROM payments WHERE predicted_value_last = 'contract' AND short_dt BETWEEN '1995-01-01' AND '2001-12-31'
 """, "payments")
 
-KEYS = ", ".join(interaction_keys())
+KEYS = ", ".join(INTERACTION_KEYS)
 
 part("all_interactions", f"""
 SELECT {KEYS}, sum(c_sum) AS c_sum_fin
@@ -249,7 +274,7 @@ def exact_topk(score: str) -> str:
 SELECT "user", (row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item))::INTEGER AS rank, item, score
 FROM (SELECT u.vec_id AS "user", i.vec_id AS item, round({score}(u.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) AS score
       FROM embeddings u JOIN embeddings i ON u.vec_id % 5 = 0 AND i.vec_id % 5 <> 0)
-QUALIFY rank <= 10"""
+QUALIFY rank <= 100"""
 
 
 # --- pairs -------------------------------------------------------------------------------------
@@ -289,12 +314,19 @@ LOSS = "greatest(logit, 0) + ln(1 + exp(-abs(logit))) - logit * label"
 
 part("requests", """
 SELECT CASE WHEN c_custkey % 4 = 0 THEN 'X' ELSE 'C' END || c_custkey AS inn_dt, c_name AS client_name
-FROM customer WHERE c_custkey % 3 = 0
+FROM customer
 """)
-part("recommendations", """
+part("known_recommendations", """
 SELECT inn_dt, inn_kt, rank::INTEGER AS rank
 FROM history_dt h JOIN map_dt d ON d.inn_dt_index = h."user" JOIN map_kt k ON k.inn_kt_index = h.item
 """, "history_dt", "map_dt", "map_kt")
+part("recommendations", """
+SELECT * FROM known_recommendations
+UNION ALL
+SELECT inn_dt, inn_kt, shared_rank FROM (SELECT DISTINCT inn_dt FROM requests WHERE inn_dt NOT IN (SELECT inn_dt FROM map_dt)),
+  (SELECT inn_kt, (row_number() OVER (ORDER BY count(*) DESC, inn_kt))::INTEGER AS shared_rank
+   FROM known_recommendations GROUP BY inn_kt QUALIFY shared_rank <= 100)
+""", "known_recommendations", "requests", "map_dt")
 part("requested", """
 SELECT DISTINCT inn_dt, inn_kt, rank, client_name FROM recommendations JOIN requests USING (inn_dt)
 """, "recommendations", "requests")
@@ -347,7 +379,7 @@ part("shares", "SELECT inn_dt, x / sum(x) OVER (PARTITION BY inn_dt) AS p FROM p
 def statements() -> dict[str, str]:
     q: dict[str, str] = {}
     q["base_clients"] = sql("SELECT * FROM base", "base")
-    q["first_clients"] = sql("SELECT inn FROM base ORDER BY inn LIMIT 10000", "base")
+    q["first_clients"] = sql("SELECT inn FROM base ORDER BY inn LIMIT 500", "base")
     q["snapshot_inventory"] = sql(
         "SELECT report_dt, count(inn) AS clients, count(DISTINCT inn) AS distinct_clients FROM clients GROUP BY report_dt",
         "clients",
@@ -399,12 +431,12 @@ WHERE feature <> 'okved_cd_dt_lvl4_index' AND t.max_index >= s.size""", "sizes_d
 SELECT count(*) AS users, quantile_cont(n::DOUBLE, 0.5) AS median_size, round(sum(n) / count(*), 9) AS mean_size
 FROM (SELECT count(*) AS n FROM truth_dt GROUP BY inn_dt_index)""", "truth_dt")
     q["top_active_users"] = sql("""
-SELECT inn_dt_index AS "user", count(*) AS n_truth FROM truth_dt GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3500""", "truth_dt")
+SELECT inn_dt_index AS "user", count(*) AS n_truth FROM truth_dt GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""", "truth_dt")
     for key, s in (("ranking_metrics", "dt"), ("ranking_metrics_reverse", "kt")):
         truth = f", truth AS (SELECT inn_{s}_index AS \"user\", inn_{other(s)}_index AS item FROM truth_{s})"
         q[key] = sql(truth + metrics("truth", f"history_{s}", "[10, 50, 100]"), f"truth_{s}", f"history_{s}")
     q["metrics_k_sweep"] = sql("""
-, active AS (SELECT inn_dt_index AS "user" FROM truth_dt GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3500),
+, active AS (SELECT inn_dt_index AS "user" FROM truth_dt GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 50),
 truth AS (SELECT "user", inn_kt_index AS item FROM truth_dt JOIN active ON "user" = inn_dt_index)"""
         + metrics("truth", "history_dt", "range(2, 21)"), "truth_dt", "history_dt")
 
@@ -464,6 +496,13 @@ slots AS (SELECT *, i // 256 AS batch, i % 256 AS slot, count(*) OVER (PARTITION
 SELECT a.batch, a.slot, shift::INTEGER AS shift, a.inn_dt_index, a.inn_kt_index, b.inn_kt_index AS negative
 FROM slots a CROSS JOIN (SELECT unnest([1, 2]) AS shift) JOIN slots b ON b.batch = a.batch AND b.slot = (a.slot + shift) % a.n
 WHERE a.inn_kt_index <> b.inn_kt_index""", "positives")
+    q["in_batch_loss"] = sql("""
+, placed AS (SELECT inn_dt_index, inn_kt_index, (row_number() OVER (ORDER BY h) - 1) // 256 AS batch FROM positives),
+known AS (SELECT batch, p.inn_kt_index AS k, u.embedding::DOUBLE[] AS u, v.embedding::DOUBLE[] AS v
+          FROM placed p JOIN vectors_dt u USING (inn_dt_index) JOIN vectors_kt v ON v.inn_kt_index = p.inn_kt_index)
+SELECT a.batch, count(*) AS n,
+       round(avg(ln(1 + exp(list_inner_product(a.u, b.v) - list_inner_product(a.u, a.v)))), 8) AS value
+FROM known a JOIN known b ON a.batch = b.batch AND a.k <> b.k GROUP BY a.batch""", "positives", "vectors_dt", "vectors_kt")
     for key, s in (("pair_features", "dt"), ("pair_features_reverse", "kt")):
         q[key] = sql(_pair_features(s), f"pairs_{other(s)}", "indexed_dt", "indexed_kt", "vectors_dt", "vectors_kt")
     q["epoch_length"] = sql("""
@@ -497,7 +536,7 @@ UNION ALL SELECT part, 'bce', round(avg({LOSS}), 9), count(*) FROM parts GROUP B
     q["recommendation_union"] = sql("""
 SELECT inn_dt, client_name, NULL::VARCHAR AS inn_kt, NULL::INTEGER AS rank FROM requests
 UNION ALL SELECT inn_dt, client_name, inn_kt, rank FROM requested""", "requests", "requested")
-    named = ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS {n}" for i, n in enumerate(IMPORTANCE_NAMES))
+    named = ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS {n}" for i, n in enumerate(KT_WEIGHTS))
     q["importance_table"] = sql(f"SELECT inn_dt, inn_kt, rank, {named} FROM recommendations LEFT JOIN vectors_kt USING (inn_kt)",
                                 "recommendations", "vectors_kt")
 
@@ -519,7 +558,7 @@ recs AS (SELECT {user} AS "user", {item} AS item,
          WHERE {user} IN (SELECT "user" FROM truth) QUALIFY rank <= 100)"""
             + metrics("truth", "recs", "[10, 50, 100]"), f"truth_{s}", "vectors_dt", "vectors_kt")
     q["io_roundtrip"] = sql("""
-SELECT substr(short_dt, 1, 7) AS "month", count(*) AS rows, sum(c_sum_fin)::DOUBLE AS total, 8 AS topics,
+SELECT substr(short_dt, 1, 7) AS "month", count(*) AS rows, sum(c_sum_fin)::DOUBLE AS total, 50 AS topics,
        (SELECT count(DISTINCT word_v2) FROM payment_words) AS words FROM train GROUP BY "month\"""",
         "train", "payment_words")
     return q

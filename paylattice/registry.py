@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
@@ -10,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paylattice.config import (
-    IMPORTANCE_NAMES,
     SIDES,
     entity,
+    importance_names,
     index_features,
     numeric_features,
     other,
@@ -70,7 +71,7 @@ def _(d: Demo):
 
 @query("first_clients")
 def _(d: Demo):
-    return interactions.first_clients(interactions.base_clients(d.clients(), d.cfg), 10_000).select("inn")
+    return interactions.first_clients(interactions.base_clients(d.clients(), d.cfg), 500).select("inn")
 
 
 @query("snapshot_inventory")
@@ -225,7 +226,7 @@ def _(d: Demo):
 
 @query("top_active_users")
 def _(d: Demo):
-    return ranking.top_active_users(ranking.truth_rows(d.truth("dt"), "dt"), 3500)
+    return ranking.top_active_users(ranking.truth_rows(d.truth("dt"), "dt"), 50)
 
 
 def _metrics(side: str):
@@ -244,7 +245,7 @@ query("ranking_metrics_reverse")(_metrics("kt"))
 @query("metrics_k_sweep")
 def _(d: Demo):
     truth = ranking.truth_rows(d.truth("dt"), "dt")
-    active = ranking.restrict_users(truth, ranking.top_active_users(truth, 3500))
+    active = ranking.restrict_users(truth, ranking.top_active_users(truth, 50))
     found = ranking.ranking_metrics(active, history_candidates(d, "dt", 20), range(2, 21))
     return rounded(found, {"value": 9})
 
@@ -346,17 +347,24 @@ def _(d: Demo):
 
 @query("exact_topk_cosine")
 def _(d: Demo):
-    return retrieval.exact_topk(d.query_vectors(), d.catalogue_vectors(), 10, "cosine")
+    return retrieval.exact_topk(d.query_vectors(), d.catalogue_vectors(), d.cfg.top_k, "cosine")
 
 
 @query("exact_topk_dot")
 def _(d: Demo):
-    return retrieval.exact_topk(d.query_vectors(), d.catalogue_vectors(), 10, "dot")
+    return retrieval.exact_topk(d.query_vectors(), d.catalogue_vectors(), d.cfg.top_k, "dot")
 
 
-@query("ann_topk_lsh")
+@query("ann_topk_clusters")
 def _(d: Demo):
-    return retrieval.ann_topk(d.query_vectors(), d.catalogue_vectors(), 10)
+    return retrieval.ann_topk(d.query_vectors(), d.catalogue_vectors(), d.cfg.top_k, seed=d.cfg.seed)
+
+
+@query("ann_recall")
+def _(d: Demo):
+    """Share of all pairs that the approximate search scores, and its recall against the exact one."""
+    users, items, k = d.query_vectors(), d.catalogue_vectors(), d.cfg.top_k
+    return retrieval.recall_report(users, items, k, seed=d.cfg.seed)
 
 
 @query("pair_scores")
@@ -430,6 +438,14 @@ def _(d: Demo):
     return pairs.in_batch_pairs(_positives(d), "kt", IN_BATCH, d.cfg.seed, shifts=(1, 2))
 
 
+@query("in_batch_loss")
+def _(d: Demo):
+    """Ranking loss of external vectors over all negatives of each batch."""
+    vectors = [_vectors(d, s).select(F.col(f"{entity(s)}_index").alias("index"), "embedding") for s in SIDES]
+    placed = pairs.batches(_positives(d), IN_BATCH, d.cfg.seed)
+    return rounded(pairs.in_batch_loss(placed, *vectors, "kt"), {"value": 8})
+
+
 def _side_features(d: Demo, side: str) -> DataFrame:
     vectors = _vectors(d, side).select(F.col(f"{entity(side)}_index").alias("index"), "embedding")
     return pairs.side_features(d.indexed(side), side, vectors, d.cfg.embedding_width)
@@ -513,7 +529,9 @@ def _(d: Demo):
 def _recommendations(d: Demo) -> DataFrame:
     maps = _maps(d)
     history = d.stage("history_dt", lambda: history_candidates(d, "dt", 100))
-    return recommend.recommendation_table(history, maps["dt"], maps["kt"])
+    known = recommend.recommendation_table(history, maps["dt"], maps["kt"])
+    cold = recommend.cold_entities(d.requests(), maps["dt"], "dt")
+    return recommend.with_cold(known, cold, recommend.popular_list(known, d.cfg.top_k))
 
 
 @query("recommendation_table")
@@ -528,10 +546,11 @@ def _(d: Demo):
 
 @query("importance_table")
 def _(d: Demo):
-    weights = _vectors(d, "kt").select("inn_kt", F.slice("embedding", 1, 15).alias("weights"))
-    named = recommend.importance_table(_recommendations(d), weights, "inn_kt")
+    names = importance_names("kt")
+    weights = _vectors(d, "kt").select("inn_kt", F.slice("embedding", 1, len(names)).alias("weights"))
+    named = recommend.importance_table(_recommendations(d), weights, "kt")
     return named.select(
-        "inn_dt", "inn_kt", "rank", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in IMPORTANCE_NAMES]
+        "inn_dt", "inn_kt", "rank", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
     )
 
 
@@ -579,9 +598,12 @@ def _(d: Demo):
 def _(d: Demo):
     maps = _maps(d)
     counts = d.stage("pair_counts", lambda: learning.pair_counts(d.train(), maps["dt"], maps["kt"]))
-    users, items = learning.als_vectors(counts, "dt", seed=d.cfg.seed)
-    wanted = ranking.restrict_users(users, ranking.truth_rows(d.truth("dt"), "dt").distinct())
-    return retrieval.exact_topk(wanted, items, 10, "dot")
+    users, items = learning.als_vectors(counts, "dt", d.cfg.als_rank, d.cfg.als_iterations, d.cfg.seed)
+    return retrieval.exact_topk(users, items, d.cfg.top_k, "dot")
+
+
+def _label_sizes(d: Demo, side: str) -> list:
+    return d.labels(side).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
 
 
 @query("fm_pair_scores")
@@ -590,10 +612,11 @@ def _(d: Demo):
         s: d.stage(f"{s}_log_features", lambda s=s: indexing.feature_table(profiles.log_stats(d.indexed(s), s), s))
         for s in SIDES
     }
+    width = learning.hash_width(sum(r["n"] for s in SIDES for r in _label_sizes(d, s)))
     samples = d.stage(
-        "hashed_pairs", lambda: learning.hashed_pairs(_pairs(d, "kt"), features, width=1 << 14)
+        "hashed_pairs", lambda: learning.hashed_pairs(_pairs(d, "kt"), features, width)
     )
-    return learning.score_pairs(learning.fit_pair_model(samples, iterations=10, seed=d.cfg.seed), samples)
+    return learning.score_pairs(learning.fit_pair_model(samples, d.cfg.fm_factors, d.cfg.fm_iterations, d.cfg.seed), samples)
 
 
 def _tower_vectors(d: Demo, side: str, source: str = "all") -> DataFrame:
@@ -639,7 +662,7 @@ def _offline(side: str):
 
         found = offline.evaluate_offline(
             d.spark, d.scratch(f"offline_{side}"), users, items, truth, d.cfg.top_k, d.cfg.metrics_k,
-            {"vectors": "external", "side": side},
+            {"vectors": "external", "side": side, "folder": d.folder, "settings": asdict(d.cfg)},
         )
         return rounded(found, {"value": 9})
 
@@ -650,20 +673,28 @@ query("offline_evaluation")(_offline("dt"))
 query("offline_evaluation_reverse")(_offline("kt"))
 
 
-@query("offline_evaluation_towers")
-def _(d: Demo):
-    """The whole chain: tower vectors of truth payers and all payees, nearest payees, metrics."""
-    truth = ranking.truth_rows(d.truth("dt"), "dt")
+def _learned(side: str):
+    """The whole chain: vectors learned on the training window, nearest partners, metrics on the test window."""
 
-    def users() -> DataFrame:
-        return _tower_vectors(d, "dt", "test_dict").select(F.col("id").alias("user"), "embedding")
+    def build(d: Demo):
+        truth = ranking.truth_rows(d.truth(side), side)
+        maps = _maps(d)
 
-    def items() -> DataFrame:
-        return _tower_vectors(d, "kt").select(F.col("id").alias("item"), "embedding")
+        def factors() -> tuple[DataFrame, DataFrame]:
+            counts = d.stage("pair_counts", lambda: learning.pair_counts(d.train(), maps["dt"], maps["kt"]))
+            return learning.als_vectors(counts, side, d.cfg.als_rank, d.cfg.als_iterations, d.cfg.seed)
 
-    return offline.evaluate_offline(
-        d.spark, d.scratch("offline_towers"), users, items, truth, d.cfg.top_k, d.cfg.metrics_k, {"vectors": "tower"}
-    )
+        return offline.evaluate_offline(
+            d.spark, d.scratch(f"offline_als_{side}"), lambda: ranking.restrict_users(factors()[0], truth.distinct()),
+            lambda: factors()[1], truth, d.cfg.top_k, d.cfg.metrics_k,
+            {"vectors": "als", "side": side, "folder": d.folder, "settings": asdict(d.cfg)}, search="ann",
+        )
+
+    return build
+
+
+query("offline_evaluation_als")(_learned("dt"))
+query("offline_evaluation_als_reverse")(_learned("kt"))
 
 
 @query("io_roundtrip")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Runtime SQL settings the operators count on. Shuffle width, file split size and the
 # broadcast threshold are left to the cluster.
@@ -21,9 +24,25 @@ RUNTIME = {
 }
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python tasks can import it there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"  # the driver serves it from here
+    with zipfile.ZipFile(archive, "w") as file:
+        for path in sorted(package.rglob("*.py")):
+            file.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    ship_package(spark)
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
     return spark
@@ -47,12 +66,12 @@ def stage_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Write the rows to the shared folder and go on from there.
 
     Lost executors cannot undo the work, later steps see one fixed split of the rows, and
-    Catalyst plans with the true size of the table.
+    Catalyst plans with the true size of the table. `schema` reads them back under other types.
     """
     path = f"{stage_dir(df.sparkSession)}/cut/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)

@@ -14,6 +14,14 @@ from paylattice.config import Settings, indexed_columns
 from paylattice.operators import indexing, interactions, profiles, quality, ranking, recommend, words
 
 
+def settings(**changes) -> Settings:
+    base = dict(
+        report_dt="2024-09-30", segments=("s",), kinds=("t",), purpose="contract", train=("2024-01-01", "2024-06-30"),
+        test=("2024-07-01", "2024-12-31"), words_since="2024-03-01",
+    )
+    return Settings(**{**base, **changes})
+
+
 def money(spark, rows):
     return spark.createDataFrame(
         [(d, k, day, Decimal(str(x))) for d, k, day, x in rows],
@@ -71,7 +79,7 @@ def test_base_keeps_flag_zero_of_one_snapshot(spark):
     rows = [("2024-09-30", "a", "s", "t", 0), ("2024-09-30", "b", "s", "t", 1), ("2024-06-30", "c", "s", "t", 0),
             ("2024-09-30", "d", "other", "t", 0)]
     df = spark.createDataFrame(rows, "report_dt string, inn string, org_segment string, type string, active_flg int")
-    cfg = Settings(segments=("s",), kinds=("t",))
+    cfg = settings(segments=("s",), kinds=("t",))
     assert [r["inn"] for r in interactions.base_clients(df, cfg).collect()] == ["a"]
     assert interactions.base_clients(df, cfg, live_only=False).count() == 2
     assert [r["inn"] for r in interactions.first_clients(df, 2).collect()] == ["a", "b"]
@@ -203,7 +211,7 @@ def test_words_ties_zero_amounts_and_uncategorised(spark):
         [("c", "w1", 10.0, 2), ("c", "w2", 10.0, 2), ("c", "w3", 5.0, 1), ("c", "w4", 1.0, 1), ("z", "w1", 0.0, 0)],
         "inn_kt string, word string, word_sum double, word_nunique_cnt long",
     )
-    cfg = Settings(top_words=1)
+    cfg = settings(top_words=1)
     scores = words.word_scores(totals, cfg)
     assert scores.filter("inn_kt = 'z'").first()["total_score"] == 0.0
     mapping = spark.createDataFrame(
@@ -224,7 +232,7 @@ def test_recommendation_names_and_missing_weights(spark):
     table = recommend.recommendation_table(recs, map_dt, map_kt)
     assert {(r["inn_dt"], r["inn_kt"], r["rank"]) for r in table.collect()} == {("d0", "k1", 1), ("d0", "k0", 3)}
     weights = spark.createDataFrame([("k1", [0.5, 0.25, 0.125])], "inn_kt string, weights array<float>")
-    named = {r["inn_kt"]: r for r in recommend.importance_table(table, weights, "inn_kt", ["a", "b"]).collect()}
+    named = {r["inn_kt"]: r for r in recommend.importance_table(table, weights, "kt", ["a", "b"]).collect()}
     assert (named["k1"]["a"], named["k1"]["b"], named["k0"]["a"]) == (0.5, 0.25, None)
 
 

@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import json
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
-from conftest import SMALL
+from conftest import ROOT, SMALL
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import functions as F
 
-from paylattice.config import Settings, index_features, numeric_features
+from paylattice.config import index_features, numeric_features
 from paylattice.operators import learning, offline, topics, towers
 from paylattice.registry import QUERIES
 from paylattice.session import cut_lineage, shared_dir
@@ -35,14 +38,14 @@ def test_vocabulary_equals_count_vectorizer(spark):
 def test_topic_weights_sum_to_one(spark):
     rows = QUERIES["topic_weights"](spark, SMALL).collect()
     for row in rows:
-        weights = [row[f"dt_topic_weight_{i}"] for i in range(8)]
+        weights = [row[f"dt_topic_weight_{i}"] for i in range(50)]
         assert sum(weights) == pytest.approx(1.0) and min(weights) >= 0
 
 
 def test_topic_vectors_are_indexed(spark):
     rows = QUERIES["topic_indexed"](spark, SMALL).collect()
     assert len({r["inn_dt_index"] for r in rows}) == len(rows) > 0
-    assert all(len(r["topic"]) == 8 for r in rows)
+    assert all(len(r["topic"]) == 50 for r in rows)
 
 
 def tower_fixture(spark):
@@ -104,14 +107,27 @@ def test_als_is_reproducible_and_learns(spark):
         [(u, i, 5.0) for u in range(20) for i in range(10) if (u < 10) == (i < 5)],
         "inn_dt_index int, inn_kt_index int, n float",
     )
-    users, items = learning.als_vectors(counts, "dt", rank=4)
-    again, _ = learning.als_vectors(counts, "dt", rank=4)
+    users, items = learning.als_vectors(counts, "dt", rank=4, iterations=5)
+    again, _ = learning.als_vectors(counts, "dt", rank=4, iterations=5)
     a = {r["user"]: r["embedding"] for r in users.collect()}
     assert a == {r["user"]: r["embedding"] for r in again.collect()}
     b = {r["item"]: r["embedding"] for r in items.collect()}
     assert np.dot(a[0], b[0]) > np.dot(a[0], b[7])
 
 
+def test_learned_vectors_are_evaluated(spark):
+    rows = QUERIES["offline_evaluation_als"](spark, SMALL).collect()
+    assert {(r["metric"], r["k"]) for r in rows} == {(m, k) for m in ("MAP", "NDCG", "Precision", "Recall") for k in (10, 50, 100)}
+    assert all(0 <= r["value"] <= 1 for r in rows) and max(r["value"] for r in rows) > 0
+
+
+def test_learned_lists_are_true_scores_in_order(spark):
+    rows = QUERIES["als_candidates"](spark, SMALL).orderBy("user", "rank").collect()
+    for a, b in zip(rows, rows[1:]):
+        if a["user"] == b["user"]:
+            assert b["rank"] == a["rank"] + 1 and (a["score"], -a["item"]) > (b["score"], -b["item"])
+
+
 def test_pair_model_scores_every_pair(spark):
     scored = QUERIES["fm_pair_scores"](spark, SMALL)
     row = scored.agg(F.count("*"), F.min("probability"), F.max("probability"),
@@ -120,6 +136,26 @@ def test_pair_model_scores_every_pair(spark):
     assert 0 <= row[1] <= row[2] <= 1 and row[3] == 0
 
 
+def test_python_tasks_find_the_package(tmp_path):
+    """A session that starts in another folder, with the package on the driver's path only."""
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+from paylattice.session import tune
+from paylattice.operators.towers import embedding_dim
+tune(spark)
+assert spark.range(3).select(F.udf(lambda n: embedding_dim(n, 8), "int")("id")).count() == 3
+print(spark.range(3).select(F.sum(F.udf(lambda n: embedding_dim(n, 8), "int")("id"))).first()[0])
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_word_map_csv_keeps_the_schema(spark, tmp_path):
     path = tmp_path / "map.csv"
     path.write_text('word,map_weight,cat1,cat2\nlamp,2,"Home, light",Lamps\n007,,A,\n')
@@ -210,4 +246,4 @@ def test_demo_stage_is_written_once(spark):
 
     assert demo.stage("twice", build).count() == demo.stage("twice", build).count() == 2
     assert calls == [1]
-    assert Settings().top_k == 100
+    assert demo.cfg.top_k == 100

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paylattice.operators.retrieval import ann_topk, exact_topk
+from paylattice.operators.retrieval import ann_topk, exact_topk, recall_report
 from paylattice.plans import skew
 from paylattice.plans.blocks import _top
 from paylattice.plans.ordering import with_position, with_prefix
@@ -123,21 +123,30 @@ def test_ann_lists_are_whole_and_close_to_exact(spark):
     # a third of the catalogue are copies of one vector: one bucket holds them all
     items = [(i, (centres[0] if i % 3 == 0 else centres[i % 8] + 0.1 * rng.normal(size=16)).tolist()) for i in range(300)]
     u, i = frames(spark, users, items)
-    near = ann_topk(u, i, 10, bucket_length=0.5, user_block=8, item_block=16).collect()
+    near = ann_topk(u, i, 10, user_block=8, item_block=16).collect()
     assert len(near) == 40 * 10
     exact = {(r["user"], r["item"]) for r in exact_topk(u, i, 10).collect()}
-    assert len({(r["user"], r["item"]) for r in near} & exact) / len(exact) > 0.8
+    assert len({(r["user"], r["item"]) for r in near} & exact) / len(exact) >= 0.85
 
 
-def test_ann_falls_back_to_exact_when_buckets_are_too_small(spark):
+def test_ann_with_all_probes_is_exact(spark):
     rng = np.random.default_rng(6)
     users = [(i, rng.normal(size=8).tolist()) for i in range(12)]
     items = [(i, rng.normal(size=8).tolist()) for i in range(20)]
     u, i = frames(spark, users, items)
-    near = ann_topk(u, i, 20, tables=1, projections=3, bucket_length=0.01)
+    near = ann_topk(u, i, 20, recall=1.0)
     assert as_sets(near.select("user", "rank", "item")) == as_sets(exact_topk(u, i, 20).select("user", "rank", "item"))
 
 
+def test_clustered_items_are_pruned(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(25, 16))
+    users = [(i, (centres[i % 25] + 0.05 * rng.normal(size=16)).tolist()) for i in range(50)]
+    items = [(i, (centres[i % 25] + 0.05 * rng.normal(size=16)).tolist()) for i in range(625)]
+    report = {r["metric"]: r["value"] for r in recall_report(*frames(spark, users, items), 10).collect()}
+    assert report["recall"] >= 0.9 and report["scored_share"] <= 0.1 and report["full_lists"] == 1.0
+
+
 def test_top_breaks_ties_by_column():
     scores = np.array([[1.0, 2.0, 2.0, 2.0, 0.0], [0.0, 0.0, 0.0, 0.0, 5.0]])
     assert _top(scores, 2).tolist() == [[1, 2], [0, 4]]

@@ -7,12 +7,13 @@ from compare import connect, difference
 from conftest import SMALL
 
 import __spark_entry__ as contract
+from paylattice.oracle import statements
+from paylattice.registry import QUERIES
 
-SQL = contract.oracle_sql()
-QUERIES = contract.queries()
+SQL = statements()
 NO_SQL = {
-    "als_candidates", "ann_topk_lsh", "fm_pair_scores", "offline_evaluation_towers", "topic_indexed", "topic_weights",
-    "tower_embeddings",
+    "als_candidates", "ann_recall", "ann_topk_clusters", "fm_pair_scores", "offline_evaluation_als",
+    "offline_evaluation_als_reverse", "topic_indexed", "topic_weights", "tower_embeddings",
 }
 
 
@@ -22,6 +23,7 @@ def con():
 
 
 def test_keys():
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == NO_SQL
 
