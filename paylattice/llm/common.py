@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import io
 import uuid
-import zipfile
 from collections.abc import Callable
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylattice.session import stage_dir
+from paylattice.session import ship_package, stage_dir  # noqa: F401
 
 # Characters that separate words: blank, and tab to carriage return. Fixed values.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_PACKAGE = Path(__file__).resolve().parent.parent
-_shipped: set[str] = set()
 
 
 @contextmanager
@@ -48,23 +43,6 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python tasks can import it there."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    import tempfile
-
-    target = Path(tempfile.mkdtemp(prefix="package-")) / f"{_PACKAGE.name}.zip"  # read by the driver's file server only
-    with io.BytesIO() as buffer:
-        with zipfile.ZipFile(buffer, "w") as archive:
-            for path in sorted(_PACKAGE.rglob("*.py")):
-                archive.write(path, path.relative_to(_PACKAGE.parent))
-        target.write_bytes(buffer.getvalue())
-    context.addPyFile(str(target))
-    _shipped.add(context.applicationId)
-
-
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Column names that the frame does not have yet."""
     taken = {c.lower() for c in df.columns}
