@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", recall: float = RECALL)
         lambda q: F.struct(F.least(q, "block").alias("low"), F.greatest(q, "block").alias("high")),
     )
     dealt = (
-        plain.join(members, F.col("doc") == F.col("rep"))
+        plain.join(members.hint("merge"), F.col("doc") == F.col("rep"))
         .dropDuplicates(["rep"])
         .select("part", "rep", "copies", "blocks", "block", "text")
         .mapInArrow(_member_sets, "part long, rep long, copies long, blocks long, block long, set binary")
@@ -373,5 +373,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", recall: float = RECALL)
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """One document of each class, the one with the smallest id; rows without an id stay."""
     first = near_duplicates(docs, text).filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
