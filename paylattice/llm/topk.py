@@ -27,8 +27,9 @@ from paylattice.llm.common import cut, ship_package
 from paylattice.plans.ordering import with_position
 
 BLOCK_ROWS = 128
-STRIPE_BLOCKS = 128
-QUERY_ROWS = 1024
+# A stripe has so many blocks at most; with few rows it has fewer, so that all tasks get a part.
+STRIPE_BLOCKS = 256
+QUERY_ROWS = 32768
 _CODE_BITS = 16
 
 
@@ -55,12 +56,15 @@ def top_k(
     )
     # rows of like sign patterns stand together, which keeps the bounds of a block tight
     ordered = cut(with_position(rows.withColumn("code", _code(F.col("v"))), ["code", "id", F.hash("v"), "v", "q"]))
-    stripe = F.floor(F.col("position") / (BLOCK_ROWS * STRIPE_BLOCKS)).cast("int")
+    width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = -(-ordered.count() // BLOCK_ROWS)
+    blocks = max(1, min(STRIPE_BLOCKS, n_blocks // width))
+    stripe = F.floor(F.col("position") / (BLOCK_ROWS * blocks)).cast("int")
     stored = ordered.select(stripe.alias("stripe"), F.lit(-1).alias("batch"), "position", "id", "v")
     queries = ordered.filter("q").select(
         F.pmod(F.xxhash64("position"), F.lit(2**31 - 1)).alias("h"), "position", "id", "v"
     )
-    n_stripes = -(-ordered.count() // (BLOCK_ROWS * STRIPE_BLOCKS))
+    n_stripes = -(-n_blocks // blocks)
     n_batches = max(1, -(-queries.count() // QUERY_ROWS))
     batches = F.sequence(F.lit(0), F.lit(n_batches - 1))
     stripes = F.sequence(F.lit(0), F.lit(max(0, n_stripes - 1)))
@@ -73,12 +77,10 @@ def top_k(
             )
         )
     )
-    width = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_stripes * n_batches)
-
     def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _search(table, k)
 
-    found = cells.repartition(width, "stripe", "batch").groupBy("stripe", "batch").applyInArrow(
+    found = cells.repartition(max(width, n_stripes * n_batches), "stripe", "batch").groupBy("stripe", "batch").applyInArrow(
         search, "query_position long, query_id long, vec_id long, score long"
     )
     best = Window.partitionBy("query_position").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_first())
