@@ -134,3 +134,16 @@ def asinh_weights(interactions: DataFrame) -> DataFrame:
     return interactions.select(
         "inn_dt", "inn_kt", "short_dt", AMOUNT, F.asinh(F.col(AMOUNT).cast("double")).alias("weight")
     )
+
+
+def extended_passport(passport: DataFrame, entropy: DataFrame, buckets: DataFrame, side: str) -> DataFrame:
+    """Passport with the entropy of the entity's partners and the bucket of their number; 0 where unknown.
+
+    All three tables hold an entity once, so no key is frequent.
+    """
+    own = entity(side)
+    extra = {f"{side}_entropy": 0.0, f"{side}_normalized_entropy": 0.0, f"{side}_buyers_count_index": 0}
+    joined = passport.join(entropy.select(own, f"{side}_entropy", f"{side}_normalized_entropy"), own, "left").join(
+        buckets.select(own, f"{side}_buyers_count_index"), own, "left"
+    )
+    return joined.na.fill(extra)

@@ -408,6 +408,20 @@ FROM shares GROUP BY inn_dt""", "shares")
 bounds AS (SELECT list_distinct(quantile_disc(c, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) AS b FROM counts)
 SELECT inn_dt, c AS dt_buyers_count, len(list_filter(b, lambda x: x <= c))::INTEGER AS dt_buyers_count_index
 FROM counts, bounds""", "train")
+    for key, s in (("passport_extended", "dt"), ("passport_extended_kt", "kt")):
+        own, partner = f"inn_{s}", f"inn_{other(s)}"
+        q[key] = sql(f"""
+, amounts AS (SELECT {own}, {partner}, sum(c_sum_fin)::DOUBLE AS x FROM train GROUP BY ALL HAVING x > 0),
+parts AS (SELECT {own}, x / sum(x) OVER (PARTITION BY {own}) AS p FROM amounts),
+entropy AS (SELECT {own}, CASE WHEN count(*) = 1 THEN 0 ELSE round(-sum(p * ln(p)), 6) END AS {s}_entropy,
+                   CASE WHEN count(*) = 1 THEN 0 ELSE round(-sum(p * ln(p)) / ln(count(*)), 6) END AS {s}_normalized_entropy
+            FROM parts GROUP BY {own}),
+counts AS (SELECT {own}, count(DISTINCT {partner}) AS c FROM train GROUP BY {own}),
+bounds AS (SELECT list_distinct(quantile_disc(c, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) AS b FROM counts),
+placed AS (SELECT {own}, len(list_filter(b, lambda x: x <= c))::INTEGER AS {s}_buyers_count_index FROM counts, bounds)
+SELECT p.*, coalesce({s}_entropy, 0) AS {s}_entropy, coalesce({s}_normalized_entropy, 0) AS {s}_normalized_entropy,
+       coalesce({s}_buyers_count_index, 0) AS {s}_buyers_count_index
+FROM ({_passport(s)}) p LEFT JOIN entropy USING ({own}) LEFT JOIN placed USING ({own})""", "train", f"passport_{s}")
     q["asinh_weights"] = sql(
         "SELECT inn_dt, inn_kt, short_dt, c_sum_fin::DOUBLE AS c_sum_fin, round(asinh(c_sum_fin::DOUBLE), 9) AS weight FROM train",
         "train")
@@ -525,10 +539,22 @@ SELECT 'bce' AS loss, round(avg({LOSS}), 9) AS value FROM scores
 UNION ALL SELECT 'bpr', round(avg(ln(1 + exp({logit.format("negative")} - {logit.format("inn_kt_index")}))), 9)
 FROM negatives_kt""", "scores", "negatives_kt")
     q["metric_rollup"] = sql(f"""
-, parts AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'val' ELSE 'train' END AS part FROM scores)
+, parts AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'val' ELSE 'train' END AS part, doc_id // 64 AS batch FROM scores),
+levels AS (SELECT part, batch, logit, sum(label) AS pos, sum(1 - label) AS neg FROM parts GROUP BY ALL),
+cum AS (SELECT *, sum(neg) OVER (PARTITION BY part, batch ORDER BY logit) - neg AS neg_below,
+               sum(pos) OVER (PARTITION BY part, batch ORDER BY logit DESC) AS caught,
+               sum(pos + neg) OVER (PARTITION BY part, batch ORDER BY logit DESC) AS shown FROM levels),
+sums AS (SELECT part, batch, sum(pos) AS p, sum(pos + neg) AS n, sum(pos * (neg_below + neg / 2)) AS ordered,
+                sum(pos * caught / shown) AS ap, sum(CASE WHEN logit >= 0 THEN pos ELSE 0 END) AS tp,
+                sum(CASE WHEN logit >= 0 THEN neg ELSE 0 END) AS fp FROM cum GROUP BY ALL)
 SELECT part, 'accuracy' AS metric, round(avg(CASE WHEN (logit > 0) = (label = 1) THEN 1.0 ELSE 0 END), 9) AS average,
        count(*) AS n FROM parts GROUP BY part
-UNION ALL SELECT part, 'bce', round(avg({LOSS}), 9), count(*) FROM parts GROUP BY part""", "scores")
+UNION ALL SELECT part, 'bce', round(avg({LOSS}), 9), count(*) FROM parts GROUP BY part
+UNION ALL SELECT part, 'auc_roc', round(sum(ordered / (p * (n - p)) * n) / sum(n), 9), sum(n)::BIGINT FROM sums
+          WHERE p > 0 AND p < n GROUP BY part
+UNION ALL SELECT part, 'average_precision', round(sum(ap / p * n) / sum(n), 9), sum(n)::BIGINT FROM sums WHERE p > 0 GROUP BY part
+UNION ALL SELECT part, 'f1', round(sum(2 * tp / (tp + fp + p) * n) / sum(n), 9), sum(n)::BIGINT FROM sums
+          WHERE tp + fp + p > 0 GROUP BY part""", "scores")
 
     q["cold_entities"] = sql("SELECT DISTINCT inn_dt FROM requests WHERE inn_dt NOT IN (SELECT inn_dt FROM map_dt)",
                              "requests", "map_dt")

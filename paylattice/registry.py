@@ -142,6 +142,19 @@ def _(d: Demo):
     return profiles.partner_count_buckets(profiles.partner_counts(d.train(), "dt"), "dt")
 
 
+def _extended(side: str):
+    def build(d: Demo):
+        buckets = profiles.partner_count_buckets(profiles.partner_counts(d.train(), side), side)
+        found = profiles.extended_passport(d.passport(side), profiles.entity_entropy(d.train(), side), buckets, side)
+        return rounded(found, {**stat_digits(side), f"{side}_entropy": 6, f"{side}_normalized_entropy": 6})
+
+    return build
+
+
+query("passport_extended")(_extended("dt"))
+query("passport_extended_kt")(_extended("kt"))
+
+
 @query("asinh_weights")
 def _(d: Demo):
     return rounded(as_double(profiles.asinh_weights(d.train()), "c_sum_fin"), {"weight": 9})
