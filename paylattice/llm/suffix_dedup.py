@@ -2,7 +2,11 @@
 
 A byte goes when a string of `LENGTH` bytes that covers it also starts in a document with a smaller doc_id.
 
-1. Every window of LENGTH bytes is represented by its minimizer: the GRAM-byte substring with the smallest
+0. Texts are cut at content-defined places into chunks of windows, about CHUNK each. A chunk whose bytes
+   (told apart by 128-bit hashes) are also a chunk of a smaller document is settled: all its windows go. This
+   leaves of a group of copies little more than the first. Settled windows need no further part: the
+   smallest document that holds a window never has it settled.
+1. Every other window of LENGTH bytes is represented by its minimizer: the GRAM-byte substring with the smallest
    hash. Equal windows have equal minimizers, so only minimizers that occur in more than one place can
    belong to repeated windows. They are found by a shuffle of hashes, about one per 16 bytes of text.
 2. The windows of one minimizer stand in a row in the text, as one short segment. Segments are shuffled by
@@ -37,6 +41,8 @@ from paylattice.llm.common import cut, fresh, partitions_for, ship_package, tota
 LENGTH = 50
 GRAM = 20
 REACH = LENGTH - GRAM  # a window that starts at p holds the grams that start at p .. p + REACH
+_BESIDE = REACH // 2
+CHUNK = 256
 HOT_ROWS = 2048
 HOT_SHARE = 1e-5
 _SLICE = 1 << 20
@@ -77,8 +83,13 @@ def _hashes(data: np.ndarray) -> np.ndarray:
     return h | np.uint64(1)
 
 
-def minimizers(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the minimizers of all windows inside the texts at `starts` of `data`."""
+def minimizers(
+    data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, skip: list[tuple[int, int]] = ()
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the minimizers of all windows inside the texts at `starts` of `data`.
+
+    `skip` lists half-open runs of windows that need none.
+    """
     if len(data) < LENGTH:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = _hashes(data)
@@ -88,6 +99,8 @@ def minimizers(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple
     np.add.at(inside, starts[ok], 1)
     np.add.at(inside, starts[ok] + sizes[ok] - LENGTH + 1, -1)
     low[np.cumsum(inside[:-1]) == 0] = 0
+    for a, b in skip:
+        low[a:b] = 0
     # a gram is chosen if it is the smallest of some window that holds it
     padded = np.zeros(len(low) + 2 * REACH, dtype=np.uint64)
     padded[REACH : REACH + len(low)] = low
@@ -95,15 +108,19 @@ def minimizers(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple
     return places, h[places]
 
 
-def _slices(ids: list, bodies: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts joined to arrays of about one megabyte: data, starts, sizes, row numbers, offsets in the text."""
+def _slices(ids: list, bodies: list[bytes], settled: list | None = None) -> Iterator[tuple]:
+    """Texts joined to arrays of about one megabyte: data, starts, sizes, row numbers, offsets in the text and
+    the settled runs of windows."""
     parts, size = [], 0
     for row, body in enumerate(bodies):
         if ids[row] is None or len(body) < LENGTH:
             continue
+        done = _merged([(r["start"], r["start"] + r["windows"]) for r in settled[row] or []]) if settled else []
+        if done and done[0] == (0, len(body) - LENGTH + 1):
+            continue
         for at in range(0, len(body) - LENGTH + 1, _SLICE):  # long texts overlap by a window less one byte
             part = body[at : at + _SLICE + LENGTH - 1]
-            parts.append((row, at, part))
+            parts.append((row, at, part, done))
             size += len(part)
             if size >= _SLICE:
                 yield _joined(parts)
@@ -112,10 +129,57 @@ def _slices(ids: list, bodies: list[bytes]) -> Iterator[tuple[np.ndarray, np.nda
         yield _joined(parts)
 
 
-def _joined(parts: list[tuple[int, int, bytes]]):
+def _joined(parts: list[tuple[int, int, bytes, list]]) -> tuple:
     sizes = np.array([len(p[2]) for p in parts])
+    starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(p[2] for p in parts), dtype=np.uint8)
-    return data, np.cumsum(sizes) - sizes, sizes, np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
+    skip = []
+    for start, (_, at, part, done) in zip(starts.tolist(), parts):
+        for a, b in done:
+            a, b = max(a - at, 0), min(b - at, len(part) - LENGTH + 1)
+            if a < b:
+                skip.append((start + a, start + b))
+    return data, starts, sizes, np.array([p[0] for p in parts]), np.array([p[1] for p in parts]), skip
+
+
+_CHUNKS = pa.schema([(c, pa.int64()) for c in ("h1", "h2", "doc", "th", "start", "windows")])
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Content-defined runs of windows with the hash of all bytes under them."""
+    limit = np.uint64(2**64 // CHUNK)
+    for batch in _portions(batches):
+        ids, ths, texts = (c.to_pylist() for c in batch.columns)
+        bodies = [(t or "").encode() for t in texts]
+        bounds: dict[int, list[int]] = {}
+        for data, starts, sizes, rows, offsets, _ in _slices(ids, bodies):
+            at = np.flatnonzero(_hashes(data) < limit)
+            part = np.searchsorted(starts, at, side="right") - 1
+            place = at - starts[part]
+            ok = place <= sizes[part] - LENGTH
+            for row, p in zip(rows[part[ok]].tolist(), (place + offsets[part])[ok].tolist()):
+                bounds.setdefault(row, []).append(p)
+        out = []
+        for row, body in enumerate(bodies):
+            if ids[row] is None or len(body) < LENGTH:
+                continue
+            edges = [0, *(p for p in bounds.get(row, []) if p), len(body) - LENGTH + 1]
+            for a, b in zip(edges, edges[1:]):
+                if a < b:
+                    code = xxhash.xxh3_128_digest(body[a : b + LENGTH - 1])
+                    out.append((
+                        int.from_bytes(code[:8], "little", signed=True), int.from_bytes(code[8:], "little", signed=True),
+                        ids[row], ths[row], a, b - a,
+                    ))
+        yield _rows(out, _CHUNKS)
+
+
+def _portions(batches: Iterator[pa.RecordBatch], size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about `size` bytes or a single row."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
 
 
 _SPOTS = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64())])
@@ -125,12 +189,12 @@ _OPEN, _KNOWN, _SETTLED = 0, 1, 2  # to be matched; repeated, and matched with o
 
 def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Minimizers of every text. Hashes that several documents of the batch share are known to be repeated."""
-    for batch in batches:
+    for batch in _portions(batches):
         ids = batch.column(0).to_pylist()
         bodies = [(t or "").encode() for t in batch.column(1).to_pylist()]
         hashes, docs, places = [], [], []
-        for data, starts, sizes, rows, offsets in _slices(ids, bodies):
-            at, h = minimizers(data, starts, sizes)
+        for data, starts, sizes, rows, offsets, skip in _slices(ids, bodies, batch.column(2).to_pylist()):
+            at, h = minimizers(data, starts, sizes, skip)
             part = np.searchsorted(starts, at, side="right") - 1
             hashes.append(h)
             docs.append(np.array([ids[r] for r in rows], dtype=np.int64)[part])
@@ -144,11 +208,13 @@ def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(first) - 1
         head = np.flatnonzero(first)
         tail = np.r_[head[1:], len(h)] - 1
-        shared = (place[head] != place[tail]) | (doc[head] != doc[tail])
+        shared = doc[head] != doc[tail]
         kind = np.where(~shared[group], _OPEN, np.where(first, _KNOWN, _SETTLED))
         signed = h.view(np.int64)
         key = np.where(kind == _SETTLED, doc * 1_000_003 + place, signed)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, signed, doc, place * 4 + kind)], schema=_SPOTS)
+        columns = (key, signed, doc, place * 4 + kind)
+        for a in range(0, len(key), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 50_000]) for x in columns], schema=_SPOTS)
 
 
 _REPEATED = pa.schema([("doc", pa.int64()), ("place", pa.int64()), ("hash", pa.int64())])
@@ -169,22 +235,25 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     h, doc, tag = (np.concatenate(x) for x in zip(*held))
     del held
-    order = np.argsort(h)
+    order = np.lexsort((doc, h))
     h, doc, tag = h[order], doc[order], tag[order]
-    twin = np.zeros(len(h), dtype=bool)
-    twin[1:] = h[1:] == h[:-1]
-    twin[:-1] |= twin[1:].copy()
+    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    tail = np.r_[head[1:], len(h)] - 1
+    twin = np.repeat(doc[head] != doc[tail], tail - head + 1)  # repetitions inside a document do not count
     pick = np.flatnonzero(twin & ((tag & 3) == _OPEN))
     for a in range(0, len(pick), 100_000):
         p = pick[a : a + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[p], tag[p] >> 2, h[p])], schema=_REPEATED)
 
 
-def segments(places: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(
+    places: np.ndarray, hashes: np.ndarray, low: np.ndarray, high: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last window of every place that owns windows, and the place's index.
 
-    `places` is sorted. A window belongs to the place with the smallest hash among those it holds, the
-    leftmost if several have it.
+    `places` is sorted; windows from `low` to `high` (per place) exist. A window belongs to the place with
+    the smallest hash among those it holds, the leftmost if several have it. Texts stand more than a window
+    apart.
     """
     before = np.full(len(places), -1)  # nearest place to the left with a hash as small
     after = np.full(len(places), np.iinfo(np.int64).max // 2)  # nearest to the right with a smaller one
@@ -196,50 +265,99 @@ def segments(places: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndar
         before[d:] = np.where(left, np.maximum(before[d:], places[:-d]), before[d:])
         right = near & (hashes[d:] < hashes[:-d])
         after[:-d] = np.where(right, np.minimum(after[:-d], places[d:]), after[:-d])
-    first = np.maximum(np.maximum(places - REACH, before + 1), 0)
-    last = np.minimum(np.minimum(places, after - REACH - 1), size - LENGTH)
+    first = np.maximum(np.maximum(places - REACH, before + 1), low)
+    last = np.minimum(np.minimum(places, after - REACH - 1), high)
     own = np.flatnonzero(first <= last)
     return first[own], last[own], own
 
 
 _SEGMENTS = pa.schema([
-    ("key", pa.int64()), ("segment", pa.binary()), ("doc", pa.int64()), ("th", pa.int64()),
-    ("starts", pa.list_(pa.int64())), ("windows", pa.int64()),
+    ("key", pa.int64()), ("segment", pa.binary()), ("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int64()),
+    ("windows", pa.int64()), ("at", pa.int64()),
 ])
+_GAP = b"\xff" * 64  # in no UTF-8 text; keeps texts more than a window apart
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all spans one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _pieces(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[_spans(starts, sizes)])])
+
+
+def _grouped(key: np.ndarray, pieces: pa.BinaryArray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray, np.ndarray]:
+    """Order by (piece, key, doc), first row of each group of equal piece and key, the pieces, and each row's piece."""
+    coded = pieces.dictionary_encode()
+    index = coded.indices.to_numpy().astype(np.int64)
+    order = np.lexsort((doc, key, index))
+    k, i = key[order], index[order]
+    heads = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]) if len(order) else order
+    return order, heads, coded.dictionary, index
+
+
+def _mixed(words: np.ndarray, at: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
+    """Hash of the bytes under the words at the given offsets from each place."""
+    h = np.zeros(len(at), np.uint64)
+    for n, offset in enumerate(offsets):
+        h = (h ^ (h >> np.uint64(31))) * _MIX[n % 4] + words[at + offset]
+    h ^= h >> np.uint64(32)
+    h *= _MIX[3]
+    return h ^ (h >> np.uint64(29))
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Segments to be matched; equal ones of the batch once, for the smallest document. The others are settled."""
-    for batch in batches:
-        found: dict[tuple[int, bytes], dict[tuple[int, int], list[int]]] = {}
-        for doc, th, text, spots in zip(*(c.to_pylist() for c in batch.columns)):
-            body = (text or "").encode()
-            place = np.array([s["place"] for s in spots], dtype=np.int64)
-            h = np.array([s["hash"] for s in spots], dtype=np.int64).view(np.uint64)
-            inside = place + GRAM <= len(body)
-            first, last, own = segments(place[inside], h[inside], len(body))
-            keys = h[inside][own].view(np.int64)
-            heated = np.isin(keys, hot)
-            for key, a, b, is_hot in zip(keys.tolist(), first.tolist(), last.tolist(), heated.tolist()):
-                if is_hot:
-                    for p in range(a, b + 1):
-                        window = body[p : p + LENGTH]
-                        code = int.from_bytes(xxhash.xxh3_64_digest(window), "little", signed=True)
-                        found.setdefault((code, window), {}).setdefault((doc, th), []).append(p)
-                else:
-                    found.setdefault((key, body[a : b + LENGTH]), {}).setdefault((doc, th), []).append(a)
-        rows, settled = [], {}
-        for (key, segment), owners in found.items():
-            least = min(doc for doc, _ in owners)
-            for (doc, th), starts in owners.items():
-                if doc == least:
-                    rows.append((key, segment, doc, th, starts, len(segment) - LENGTH + 1))
-                else:
-                    settled.setdefault((doc, th), []).extend((a, a + len(segment) - LENGTH + 1) for a in starts)
-        for (doc, th), runs in settled.items():
-            rows += [(doc * 1_000_003 + a, None, doc, th, [a], b - a) for a, b in _merged(runs)]
-        for a in range(0, len(rows), 20_000):
-            yield _rows(rows[a : a + 20_000], _SEGMENTS)
+    for batch in _portions(batches, 32 << 20):
+        bodies = [t.encode() for t in batch.column("text").to_pylist()]
+        sizes = np.array([len(x) for x in bodies])
+        data = np.frombuffer(_GAP.join(bodies) + _GAP, np.uint8)
+        base = np.cumsum(sizes + len(_GAP)) - sizes - len(_GAP)
+        spots = batch.column("spots")
+        counts = np.asarray(spots.value_lengths())
+        flat = spots.flatten()
+        place, h = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("place", "hash"))
+        row = np.repeat(np.arange(len(bodies)), counts)
+        inside = place + GRAM <= sizes[row]  # rows that share an id may be of different length
+        place, h, row = place[inside] + base[row[inside]], h[inside], row[inside]
+        first, last, own = segments(place, h.view(np.uint64), base[row], base[row] + sizes[row] - LENGTH)
+        key, at, row = h[own], place[own] - first, row[own]
+        windows = last - first + 1
+        hotter = np.isin(key, hot)
+        if hotter.any():  # each window of a hot minimizer on its own
+            each = _spans(first[hotter], windows[hotter])
+            code = _mixed(_words(data), each, (0, 8, 16, 24, 32, 40, LENGTH - 8)).view(np.int64)
+            cold = ~hotter
+            row = np.r_[row[cold], np.repeat(row[hotter], windows[hotter])]
+            key, first, at = np.r_[key[cold], code], np.r_[first[cold], each], np.r_[at[cold], np.full(len(each), _BESIDE)]
+            windows = np.r_[windows[cold], np.ones(len(each), np.int64)]
+        if not len(key):
+            continue
+        doc, th = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc", "th"))
+        start = first - base[row]
+        pieces = _pieces(data, first, windows + LENGTH - 1)
+        order, heads, _, _ = _grouped(key, pieces, doc)
+        least = np.repeat(doc[order][heads], np.diff(np.r_[heads, len(order)]))
+        sent, done = order[doc[order] == least], order[doc[order] > least]
+        for a in range(0, len(sent), 20_000):
+            i = sent[a : a + 20_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[i]), pieces.take(pa.array(i)), *(pa.array(x[i]) for x in (doc, th, start, windows, at))],
+                schema=_SEGMENTS,
+            )
+        done = done[np.lexsort((start[done], row[done]))]
+        if len(done):
+            d, t, s, w, r = (x[done] for x in (doc, th, start, windows, row))
+            heads = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + w[:-1])])  # runs that touch are one
+            w = np.add.reduceat(w, heads)
+            d, t, s = d[heads], t[heads], s[heads]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(d * 1_000_003 + s), pa.nulls(len(d), pa.binary()), *(pa.array(x) for x in (d, t, s, w, np.zeros_like(s)))],
+                schema=_SEGMENTS,
+            )
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -258,6 +376,30 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
+def _by_words(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The places in order of the 7 words of 8 bytes from each; a word is only looked at where all before tie."""
+    first = words[places]
+    order = places[np.argsort(first)]
+    head = words[order]
+    new = np.r_[True, head[1:] != head[:-1]] if len(order) else np.empty(0, bool)
+    for offset in range(8, 49, 8):
+        tied = np.flatnonzero(~(new & np.r_[new[1:], True])) if len(order) else new
+        if not len(tied):
+            break
+        group = np.cumsum(new)[tied]
+        word = words[order[tied] + offset]
+        by = np.argsort(word)
+        step = word[by]
+        rank = np.empty(len(word), np.int64)
+        rank[by] = np.cumsum(np.r_[False, step[1:] != step[:-1]])
+        key = group * len(word) + rank
+        by = np.argsort(key)
+        order[tied] = order[tied][by]
+        key = key[by]
+        new[tied[1:]] |= key[1:] != key[:-1]
+    return order
+
+
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Suffixes of `data` (bytes) in order of their first LENGTH bytes and more, by two-stage sorting."""
     n = len(data)
@@ -270,10 +412,9 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     small = np.repeat(rises, run_sizes)
 
     # stage 1: sort the small suffixes directly, by 7 words of 8 bytes
-    padded = np.concatenate([data, np.zeros(64, np.uint8)])
-    words = _words(padded, ">u8")
+    words = _words(np.concatenate([data, np.zeros(64, np.uint8)]), ">u8")
     direct = np.flatnonzero(small)
-    direct = direct[np.lexsort([words[direct + o] for o in range(48, -1, -8)])]
+    direct = _by_words(words, direct)
     heads = data[direct]
     bounds = np.searchsorted(heads, np.arange(257))
 
@@ -326,50 +467,87 @@ _RUNS = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int64()
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of windows that also start in a smaller document, for the segments of one partition."""
-    owners: dict[tuple[int, bytes], list[tuple[int, int, list[int]]]] = {}
+    held = []
     for batch in batches:
-        out = []
-        for key, segment, doc, th, starts, windows in zip(*(c.to_pylist() for c in batch.columns)):
-            if segment is None:
-                out += [(doc, th, a, windows) for a in starts]
-            else:
-                owners.setdefault((key, segment), []).append((doc, th, starts))
-        yield _rows(out, _RUNS)
-    per_key: dict[int, int] = {}
-    for key, _ in owners:
-        per_key[key] = per_key.get(key, 0) + 1
-    least = {k: min(doc for doc, _, _ in v) for k, v in owners.items()}
+        settled = batch.filter(batch.column("segment").is_null())
+        if settled.num_rows:
+            yield pa.RecordBatch.from_arrays([settled.column(c) for c in ("doc", "th", "start", "windows")], schema=_RUNS)
+        rest = batch.filter(batch.column("segment").is_valid())
+        if rest.num_rows:
+            held.append(rest)
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    del held
+    key, doc, th, start, windows, at = (table[c].to_numpy() for c in ("key", "doc", "th", "start", "windows", "at"))
+    order, heads, pieces, index = _grouped(key, table["segment"].combine_chunks(), doc)
+    doc, th, start, windows = (x[order] for x in (doc, th, start, windows))
+    sizes = np.diff(np.r_[heads, len(order)])
+    least, group = doc[heads], np.repeat(np.arange(len(heads)), sizes)
+    later = doc > least[group]
+    yield from _run_batches(doc[later], th[later], start[later], windows[later])
+
     # a minimizer with one segment only has no other windows to compare
-    compared = [k for k in owners if per_key[k[0]] > 1]
-    found = _smallest(compared, least)
-    out = []
-    for k, rows in owners.items():
-        windows = len(k[1]) - LENGTH + 1
-        for doc, th, starts in rows:
-            if doc > least[k]:
-                out += [(doc, th, a, windows) for a in starts]
-            elif k in found:
-                for a, b in found[k]:
-                    out += [(doc, th, start + a, b - a) for start in starts]
-        if len(out) > 20_000:
-            yield _rows(out, _RUNS)
-            out = []
-    yield _rows(out, _RUNS)
-
-
-def _smallest(compared: list[tuple[int, bytes]], least: dict) -> dict:
-    """Per segment the runs of windows that occur in a smaller document than its own smallest."""
-    found = {}
-    if not compared:
-        return found
-    sizes = np.array([len(s) + 1 for _, s in compared])
-    # 0xff is in no UTF-8 text, so no common prefix of real windows crosses segments
-    data = np.frombuffer(b"".join(s + b"\xff" for _, s in compared), dtype=np.uint8)
-    docs = np.array([least[k] for k in compared], dtype=np.int64)
+    of_group = order[heads]
+    _, inverse, times = np.unique(key[of_group], return_inverse=True, return_counts=True)
+    pick = np.flatnonzero(times[inverse] > 1)
+    if not len(pick):
+        return
+    which, begin, end = _smallest(pieces, index[of_group[pick]], key[of_group[pick]], at[of_group[pick]], least[pick])
+    # all rows of the smallest document of the group get its runs
+    first_rows = heads[pick[which]]
+    n = np.add.reduceat((~later).astype(np.int64), heads)[pick[which]]
+    rows, run = _spans(first_rows, n), np.repeat(np.arange(len(which)), n)
+    yield from _run_batches(doc[rows], th[rows], start[rows] + begin[run], (end - begin)[run])
+
+
+def _run_batches(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(columns[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], schema=_RUNS)
+
+
+def _joined_pieces(pieces: pa.BinaryArray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chosen pieces, each followed by 0xff, with their starts and sizes (with the separator)."""
+    chosen = pieces.take(pa.array(index))
+    offsets = np.frombuffer(chosen.buffers()[1], np.int32)[chosen.offset : chosen.offset + len(chosen) + 1].astype(np.int64)
+    body = np.frombuffer(chosen.buffers()[2], np.uint8)
+    sizes = np.diff(offsets) + 1
     starts = np.cumsum(sizes) - sizes
+    data = np.full(int(sizes.sum()), 0xFF, np.uint8)
+    data[_spans(starts, sizes - 1)] = body[_spans(offsets[:-1], sizes - 1)]
+    return data, starts, sizes
+
+
+def _smallest(
+    pieces: pa.BinaryArray, index: np.ndarray, key: np.ndarray, at: np.ndarray, docs: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, from, to): runs of windows that occur in a smaller document than the segment's own smallest.
+
+    A window reaches at least _BESIDE bytes beyond its minimizer on one side. Only segments whose minimizer,
+    with those bytes of a side, is also in a segment of another document go into the suffix array.
+    """
+    data, starts, sizes = _joined_pieces(pieces, index)
+    words = _words(np.concatenate([data, np.zeros(64, np.uint8)]))
+    numbers, sides, owners = [], [], []
+    for side, there, place in ((0, at >= _BESIDE, starts + at - _BESIDE), (1, at + GRAM + _BESIDE < sizes, starts + at)):
+        n = np.flatnonzero(there)
+        code = _mixed(words, place[n], (0, 8, 16, 24, GRAM + _BESIDE - 8)) ^ (key[n].view(np.uint64) * _MIX[side])
+        numbers.append(n)
+        sides.append(code)
+        owners.append(docs[n])
+    n, code, owner = np.concatenate(numbers), np.concatenate(sides), np.concatenate(owners)
+    order = np.argsort(code)
+    heads = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
+    spread = np.maximum.reduceat(owner[order], heads) != np.minimum.reduceat(owner[order], heads)
+    met = np.unique(n[order][np.repeat(spread, np.diff(np.r_[heads, len(order)]))])
+    empty = np.empty(0, np.int64)
+    if not len(met):
+        return empty, empty, empty
+
+    data, starts, sizes = _joined_pieces(pieces, index[met])
     order = suffix_array(data)
     group_starts = np.flatnonzero(~equal_windows(data, order))
-    of_suffix = np.repeat(docs, sizes)
+    of_suffix = np.repeat(docs[met], sizes)
     smallest = np.minimum.reduceat(of_suffix[order], group_starts)
     best = np.empty(len(data), dtype=np.int64)
     best[order] = np.repeat(smallest, np.diff(np.r_[group_starts, len(order)]))
@@ -379,19 +557,32 @@ def _smallest(compared: list[tuple[int, bytes]], least: dict) -> dict:
     edges = np.diff(np.r_[0, hit.astype(np.int8), 0])
     begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     part = np.searchsorted(starts, begins, side="right") - 1
-    for a, b, i in zip(begins.tolist(), ends.tolist(), part.tolist()):
-        found.setdefault(compared[i], []).append((a - int(starts[i]), b - int(starts[i])))
-    return found
+    return met[part], begins - starts[part], ends - starts[part]
 
 
-def remove_repeated_strings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All rows of `docs` with a struct column `suffix_dedup`: n_bytes, n_removed, n_spans and kept (bytes)."""
+def remove_repeated_strings(docs: DataFrame, text: str = "text", out: str = "suffix_dedup") -> DataFrame:
+    """All rows of `docs` with a struct column `out`: n_bytes, n_removed, n_spans and kept (bytes). A column of
+    that name is replaced."""
     spark = docs.sparkSession
     ship_package(spark)
     width = partitions_for(spark, total_text_bytes(docs, text), _TASK_BYTES)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    body = F.col(text).cast("string")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(body).alias("th"), body.alias("text"))
 
-    spots = plain.mapInArrow(_spots, "key long, hash long, doc long, tag long")
+    chunks = cut(
+        plain.mapInArrow(_chunk_rows, "h1 long, h2 long, doc long, th long, start long, windows long"), "suffix_chunks"
+    )
+    first = chunks.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    settled = cut(
+        chunks.join(first, ["h1", "h2"]).filter("doc > first").select("doc", "th", "start", "windows"), "suffix_settled"
+    )
+    runs_of = F.collect_set(F.struct("start", "windows"))
+    done = settled.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(runs_of.alias("settled"))
+    spots = (
+        plain.join(done.hint("merge"), (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th")), "left")
+        .select("doc", "text", "settled")
+        .mapInArrow(_spots, "key long, hash long, doc long, tag long")
+    )
     repeated = cut(
         spots.repartition(width, "key").mapInArrow(_repeated, "doc long, place long, hash long"), "suffix_spots"
     )
@@ -400,19 +591,21 @@ def remove_repeated_strings(docs: DataFrame, text: str = "text") -> DataFrame:
     hot = np.array(sorted(r["hash"] for r in hot_rows), dtype=np.int64)
 
     per_doc = repeated.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("place", "hash"))).alias("spots"))
-    touched = plain.join(per_doc, "doc").select("doc", F.xxhash64("text").alias("th"), "text", "spots")
+    touched = plain.join(per_doc.hint("merge"), "doc").select("doc", "th", "text", "spots")
     runs = cut(
         touched.mapInArrow(
             lambda batches: _segment_rows(batches, hot),
-            "key long, segment binary, doc long, th long, starts array<long>, windows long",
+            "key long, segment binary, doc long, th long, start long, windows long, at long",
         )
         .repartition(width, "key")
         .mapInArrow(_match, "doc long, th long, start long, windows long"),
         "suffix_runs",
     )
 
-    per_row = runs.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(
-        F.collect_list(F.struct("start", "windows")).alias("_runs")
+    per_row = (
+        runs.unionByName(settled)
+        .groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th"))
+        .agg(runs_of.alias("_runs"))
     )
 
     @F.arrow_udf("struct<n_bytes:long, n_removed:long, n_spans:long, kept:binary>")
@@ -425,9 +618,10 @@ def remove_repeated_strings(docs: DataFrame, text: str = "text") -> DataFrame:
     th, found = fresh(docs, "th", "runs")
     named = docs.withColumn(th, F.xxhash64(F.col(text).cast("string")))
     gone = per_row.withColumnRenamed("_runs", found)
-    joined = named.join(gone, (named["doc_id"] == gone["_doc"]) & (named[th] == gone["_th"]), "left")
-    return joined.withColumn("suffix_dedup", without(F.col(text).cast("string"), F.col(found))).select(
-        *[named[c] for c in docs.columns], "suffix_dedup"
+    joined = named.join(gone.hint("merge"), (named["doc_id"] == gone["_doc"]) & (named[th] == gone["_th"]), "left")
+    return joined.select(
+        *[named[c] for c in docs.columns if c.lower() != out.lower()],
+        without(named[text].cast("string"), F.col(found)).alias(out),
     )
 
 
