@@ -86,8 +86,9 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import Window
 
     probe = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame(
-        [(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"),
     )
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     # a stored turn is one event that states its whole message
