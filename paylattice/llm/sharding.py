@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from paylattice.llm.common import cut, fresh, total_text_bytes
 
 BUCKET_BYTES = 16 << 20
+# Offsets of so many buckets (16 bytes each) are broadcast; beyond that they are joined.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def scatter_and_shuffle(
@@ -46,6 +48,8 @@ def scatter_and_shuffle(
     counts = shuffled.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    if buckets <= BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)
     position = F.col("_offset") + F.col(index)
     return shuffled.join(offsets, bucket).select(
         *[F.col(row)[c].alias(c) for c in docs.columns if c.lower() != out.lower()],
