@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of lines go from the texts; every document stays, `n_chars` follows its text."""
     report, = fresh(docs, "report")
-    cleaned = line_dedup.remove_repeated_chunks(docs, out=report).drop(report)
+    cleaned = line_dedup.remove_repeated_lines(docs, out=report).drop(report)
     if "n_chars" not in docs.columns:
         return cleaned
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

@@ -1,12 +1,17 @@
-"""Removal of repeated passages by content-defined chunks of lines.
+"""Removal of repeated passages of lines, found by content-defined chunks and by every pair of lines.
 
 A rolling hash over the hashes of neighbouring lines decides where a chunk of lines ends, so boundaries
 depend on the lines around them only and a passage is cut alike wherever it stands. Chunks of two lines or
 more that occur more than once in the corpus are removed except for their first occurrence (smallest
 doc_id, then place in the document; null ids last), after their bytes have been compared.
 
-Only hashes and places of chunks are shuffled for counting; texts move for documents with repeated chunks.
-A hash that stands for different bytes is left alone. Chunks of one line and chunks without a word stay.
+`remove_repeated_chunks` stops there. `remove_repeated_lines` compares every two neighbouring lines in the
+same way, so a passage of two lines or more goes whole, whatever chunks it was cut into: a line with a word
+goes exactly if it lies in two or more lines that stood together earlier. The first occurrence of a line
+always stays, and an occurrence that overlaps the first one in the same text does not count as another.
+
+Only hashes and places are shuffled for counting; texts move for documents with repeated lines. A hash that
+stands for different bytes is left alone. Single lines and chunks or pairs without a word stay.
 Null texts stay null and empty texts stay empty. Rows equal in doc_id and text count as one document, so
 they keep or lose the same lines; rows that share only the id are told apart by their text. An empty
 table gives no rows.
@@ -14,7 +19,7 @@ table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -26,6 +31,7 @@ from paylattice.llm.common import cut, fresh, ship_package
 WINDOW = 2  # lines under the rolling hash
 MEAN = 2  # a line ends a chunk with probability 1 / MEAN, once the chunk is long enough
 SHORTEST, LONGEST = 2, 64  # lines of a chunk
+_BLANKS = " \t\n\x0b\x0c\r"
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -52,10 +58,30 @@ def _chunks(text: str) -> Iterator[tuple[int, int, str]]:
     if len(lines) > 1:
         for first, n in chunk_lines(lines):
             chunk = "\n".join(lines[first : first + n])
-            if n > 1 and chunk.strip(" \t\n\x0b\x0c\r"):
+            if n > 1 and chunk.strip(_BLANKS):
                 yield first, n, chunk
 
 
+def _runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """The chunks of a text, every two neighbouring lines with a word, and wordless gaps with the lines around them."""
+    lines = text.split("\n")
+    seen = set()
+    for first, n, chunk in _chunks(text):
+        seen.add((first, n))
+        yield first, n, chunk
+    last = None  # the latest line with a word
+    for i, line in enumerate(lines):
+        wordy = bool(line.strip(_BLANKS))
+        pairs = [(i - 1, 2)] if i and (wordy or last == i - 1) else []
+        if wordy:
+            # pairs reach one line into a gap from either side
+            pairs += [(last, i + 1 - last)] if last is not None and i - last > 3 else []
+            last = i
+        for first, n in pairs:
+            if (first, n) not in seen:
+                yield first, n, "\n".join(lines[first : first + n])
+
+
 def _code(chunk: str) -> tuple[int, int]:
     code = xxhash.xxh3_128_digest(chunk)
     return int.from_bytes(code[:8], "little", signed=True), int.from_bytes(code[8:], "little", signed=True)
@@ -69,6 +95,17 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def remove_repeated_chunks(docs: DataFrame, text: str = "text", out: str = "line_dedup") -> DataFrame:
     """All rows of `docs` with repeated chunks taken out of the text, and a struct column `out`: lines and
     removed_lines of each row. A column of that name is replaced."""
+    return _remove_repeated(docs, _chunks, text, out)
+
+
+def remove_repeated_lines(docs: DataFrame, text: str = "text", out: str = "line_dedup") -> DataFrame:
+    """Like `remove_repeated_chunks`, for every repeated passage of two lines or more."""
+    return _remove_repeated(docs, _runs, text, out)
+
+
+def _remove_repeated(
+    docs: DataFrame, parts: Callable[[str], Iterator[tuple[int, int, str]]], text: str, out: str
+) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
@@ -78,7 +115,7 @@ def remove_repeated_chunks(docs: DataFrame, text: str = "text", out: str = "line
         for batch in batches:
             rows = []
             for doc, th, body in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(doc, th, first, n, *_code(chunk)) for first, n, chunk in _chunks(body or "")]
+                rows += [(doc, th, first, n, *_code(chunk)) for first, n, chunk in parts(body or "")]
             yield _batch(rows, places)
 
     chunks = cut(keyed.mapInArrow(find, "id long, th long, first long, n long, h1 long, h2 long"))
@@ -86,10 +123,13 @@ def remove_repeated_chunks(docs: DataFrame, text: str = "text", out: str = "line
     repeated = (
         chunks.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("keeper")).filter("times > 1")
     )
+    overlaps = (
+        F.col("id").eqNullSafe(F.col("keeper.id"))
+        & (F.col("th") == F.col("keeper.th"))
+        & (F.col("first") < F.col("keeper.first") + F.col("n"))
+    )
     hits = cut(
-        chunks.join(repeated, ["h1", "h2"]).select(
-            "id", "th", "first", "n", "h1", "h2", (place != F.col("keeper")).alias("later")
-        )
+        chunks.join(repeated, ["h1", "h2"]).select("id", "th", "first", "n", "h1", "h2", (~overlaps).alias("later"))
     )
 
     # bytes of every occurrence of a repeated hash
@@ -131,13 +171,25 @@ def remove_repeated_chunks(docs: DataFrame, text: str = "text", out: str = "line
     named = docs.withColumn(th, F.xxhash64(text))
     gone = doomed.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias(lost))
     joined = named.join(gone.hint("merge"), named["doc_id"].eqNullSafe(gone["_id"]) & (named[th] == gone["_th"]), "left")
-    n_lost = F.coalesce(F.aggregate(lost, F.lit(0).cast("long"), lambda acc, s: acc + s["n"]), F.lit(0))
+    n_lost = F.coalesce(_covered(F.col(lost)), F.lit(0))
     return joined.withColumn(kept, without(F.col(text), F.col(lost))).select(
         *[F.col(kept).alias(c) if c == text else named[c] for c in docs.columns if c.lower() != out.lower()],
         F.struct(_line_count(F.col(text)).alias("lines"), n_lost.cast("long").alias("removed_lines")).alias(out),
     )
 
 
+def _covered(spans: Column) -> Column:
+    """Lines in sorted spans that may overlap."""
+    zero = F.lit(0).cast("long")
+
+    def add(acc: Column, s: Column) -> Column:
+        end = s["first"] + s["n"]
+        more = F.greatest(zero, end - F.greatest(s["first"], acc["end"]))
+        return F.struct((acc["total"] + more).alias("total"), F.greatest(acc["end"], end).alias("end"))
+
+    return F.aggregate(spans, F.struct(zero.alias("total"), zero.alias("end")), add, lambda acc: acc["total"])
+
+
 def _line_count(text: Column) -> Column:
     return F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
 
@@ -148,5 +200,5 @@ def _without(body: str | None, spans: list[dict] | None) -> str | None:
     lines, out, at = body.split("\n"), [], 0
     for s in spans:
         out += lines[at : s["first"]]
-        at = s["first"] + s["n"]
+        at = max(at, s["first"] + s["n"])
     return "\n".join(out + lines[at:])

@@ -169,7 +169,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_line_chunks")
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = line_dedup.remove_repeated_chunks(table(spark, folder, "documents"))
+    cleaned = line_dedup.remove_repeated_lines(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "line_dedup.*", "text", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 

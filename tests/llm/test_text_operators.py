@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
+import random
 import re
 import zlib
 
@@ -351,6 +353,36 @@ def test_passages_are_found_at_other_places():
     assert len(ours & {(f - 3, n) for f, n in b}) >= 4
 
 
+def test_shared_runs_of_lines_go_whole(spark):
+    rng = random.Random(11)
+    line = lambda: rng.choice(["a b", "c", "d e f", "g", "h i", "", "", " "])
+    texts = ["\n".join(line() for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    texts += ["x x\nx x\nx x\nx x\nx x", "k\nl\nm", "n\nk\nl\no", "p q\n\n\n\n\nr s", "t\np q\n\n\n\n\nr s\nu"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(line_dedup.remove_repeated_lines(frame).select("doc_id", "text", "line_dedup.*"))}
+    split = [t.split("\n") for t in texts]
+    for doc, lines in enumerate(split):
+        gone = set()
+        for i, j in itertools.combinations(range(len(lines) + 1), 2):
+            run = lines[i:j]
+            # a run with a word, at most one wordless line at either end, and a disjoint earlier place
+            if j - i < 2 or not any(x.strip() for x in run[:2]) or not any(x.strip() for x in run[-2:]):
+                continue
+            if any(
+                other[a : a + j - i] == run
+                for o, other in enumerate(split[: doc + 1])
+                for a in range(len(other) if o < doc else max(0, i - (j - i) + 1))
+            ):
+                gone |= set(range(i, j))
+        words_left = [x for n, x in enumerate(lines) if n not in gone and x.strip()]
+        r = got[doc]
+        assert [x for x in (r["text"] or "").split("\n") if x.strip()] == words_left, doc
+        assert r["lines"] == len(lines) and r["removed_lines"] >= len(gone)
+        if r["removed_lines"] < len(lines):
+            assert r["text"].count("\n") + 1 == len(lines) - r["removed_lines"]
+    assert got[64]["text"] == "t\nu"  # the lines without a word inside a passage go with it
+
+
 # --- n-gram join ------------------------------------------------------------------------
 
 
