@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paylattice.operators.retrieval import ann_topk, exact_topk, recall_report
+from paylattice.operators.retrieval import ClusterIndex, ann_topk, exact_topk, recall_report
 from paylattice.plans import skew
 from paylattice.plans.blocks import _top
 from paylattice.plans.ordering import with_position, with_prefix
@@ -147,6 +147,22 @@ def test_clustered_items_are_pruned(spark):
     assert report["recall"] >= 0.9 and report["scored_share"] <= 0.1 and report["full_lists"] == 1.0
 
 
+def test_ann_lists_are_whole_beside_small_clusters(spark):
+    rng = np.random.default_rng(8)
+    centres = np.eye(12)
+    # two clusters hold nearly all items and users, ten hold three items each
+    crowd = [i % 2 for i in range(300)] + [2 + i % 10 for i in range(30)]
+    items = [(i, (centres[c] + 0.02 * rng.normal(size=12)).tolist()) for i, c in enumerate(crowd)]
+    users = [(i, (centres[i % 2 if i < 190 else 2 + i % 10] + 0.02 * rng.normal(size=12)).tolist()) for i in range(200)]
+    u, i = frames(spark, users, items)
+    index = ClusterIndex(centres, 1)
+    assert {r["n"] for r in ann_topk(u, i, 20, index=index).groupBy("user").agg(F.count("*").alias("n")).collect()} == {20}
+    every = ann_topk(u.limit(3), i, 1000, index=index).groupBy("user").agg(F.count("*").alias("n"))
+    assert {r["n"] for r in every.collect()} == {330}
+    report = {r["metric"]: r["value"] for r in recall_report(u, i, 20).collect()}
+    assert report["full_lists"] == 1.0 and report["recall"] >= 0.9
+
+
 def test_top_breaks_ties_by_column():
     scores = np.array([[1.0, 2.0, 2.0, 2.0, 0.0], [0.0, 0.0, 0.0, 0.0, 5.0]])
     assert _top(scores, 2).tolist() == [[1, 2], [0, 4]]
