@@ -1,14 +1,19 @@
 """Quality rules whose cutoffs carry a proven limit on false rejection.
 
 Each rule rejects a document when one of its shares (symbols, repeated words, ...) is above a cutoff.
-Per stratum and rule, a holdout of labelled good documents tests the cutoffs from lenient to strict:
-a cutoff is accepted while an exact binomial test rejects "this rule loses `limit` or more of the good
-documents". Testing in a fixed order and stopping at the first failure needs no correction for the
-number of cutoffs; the level is divided by strata x rules (Bonferroni), and the limit by the rules, so
-with confidence 1 - delta no stratum loses more than `limit` of its good documents to all rules together.
-
-Only DataFrame functions are used. Null text counts as empty. A stratum with too few labels to prove a
-limit gets no cutoffs, so only the base rules judge it; a null stratum is a stratum. A document with
+The cutoffs of all rules form one sequence of vectors from lenient to strict, each a step of one rule
+beyond the one before. Per stratum, a holdout of labelled good documents tests the vectors in that order:
+a vector is accepted while an exact binomial test rejects "all rules together lose `limit` or more of the
+good documents". Testing in a fixed order and stopping at the first failure needs no correction for the
+number of vectors; the level is divided by the strata and their pool (Bonferroni), so with confidence
+1 - delta no stratum tested on its own labels loses more than `limit` of its good documents.
+
+A stratum with too few labels to prove the limit even without a loss gets the cutoffs proven on the good
+documents of all strata together, as far as its own labelled good documents lose no more than `limit`.
+That bounds the loss of the pool, not of the stratum, and is marked in the column `pooled`. When the pool
+is too small as well, only the base rules judge.
+
+Only DataFrame functions are used. Null text counts as empty. A null stratum is a stratum. A document with
 several labels is good only if all say so. Repeated rows are judged alike, an empty table gives no rows.
 """
 
@@ -143,36 +148,57 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     return F.when(k > n * rate, F.lit(1.0)).otherwise(F.aggregate(steps, begin, add, lambda acc: acc["sum"]))
 
 
+def sequence() -> list[tuple[str, float]]:
+    """Rule and cutoff of every step, all rules going from lenient to strict at the same pace."""
+    steps = [(i / (len(cs) - 1), r, rule, c) for r, (rule, cs) in enumerate(GRID.items()) for i, c in enumerate(cs)]
+    return [(rule, c) for _, _, rule, c in sorted(steps)]
+
+
 def calibrate(
     measured: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.05, delta: float = 0.05
 ) -> DataFrame:
-    """Cutoffs per stratum: columns stratum, and one per rule (null: the rule is not used there).
+    """Cutoffs per stratum: columns stratum, one per rule (null: the rule is not used there), and pooled.
 
     `measured` has doc_id, the stratum and the struct `m`. `limit` bounds the share of good documents
     that a stratum loses to all rules together, `delta` the chance that this fails anywhere.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
     holdout = measured.select("doc_id", F.col(stratum).alias("stratum"), "m").filter(~base_failed(F.col("m")))
-    cells = [(rule, i, c) for rule, cs in GRID.items() for i, c in enumerate(cs)]
+    steps = sequence()
     rate = shares(F.col("m"))
+    lost_at = F.least(*[F.when(rate[rule] > c, F.lit(t)) for t, (rule, c) in enumerate(steps)])
+    lost = [f"k_{t}" for t in range(len(steps))]
     counted = cut(
         holdout.join(good, "doc_id")
+        .select("stratum", lost_at.alias("lost_at"))
         .groupBy("stratum")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.count_if(rate[rule] > c).alias(f"k_{rule}_{i}") for rule, i, c in cells],
-        )
+        .agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("lost_at") <= t).alias(k) for t, k in enumerate(lost)])
     )
-    tests = max(1, counted.count()) * len(GRID)
+    # one row of counts to the driver
+    pool = counted.agg(F.count(F.lit(1)).alias("strata"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", *lost)]).first()
+    level = delta / (pool["strata"] + 1)
+    every = measured.select(F.col(stratum).alias("any")).distinct()
+    strata = every.join(counted, F.col("any").eqNullSafe(F.col("stratum")), "left")
     rows = F.array(*[
-        F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("c"), F.col(f"k_{rule}_{i}").alias("k"))
-        for rule, i, c in cells
+        F.struct(
+            F.lit(t).alias("t"), F.lit(rule).alias("rule"), F.lit(c).alias("c"), F.coalesce(k, F.lit(0)).alias("k"),
+            F.lit(pool[k]).cast("long").alias("k_pool"),
+        )
+        for t, ((rule, c), k) in enumerate(zip(steps, lost))
     ])
-    one = counted.select("stratum", "n", F.explode(rows).alias("t")).select("stratum", "n", "t.*")
-    fails = (binomial_tail(F.col("k"), F.col("n"), limit / len(GRID)) > delta / tests).cast("int")
-    so_far = Window.partitionBy("stratum", "rule").orderBy("i")
-    accepted = one.withColumn("failed", fails).withColumn("failed", F.max("failed").over(so_far)).filter("failed = 0")
-    return accepted.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("c"))).alias(r) for r in GRID])
+    n = F.coalesce("n", F.lit(0))
+    pooled = n * math.log1p(-limit) > math.log(level)
+    one = strata.select(F.col("any").alias("stratum"), n.alias("n"), pooled.alias("pooled"), F.explode(rows).alias("s"))
+    one = one.select("stratum", "n", "pooled", "s.*")
+    in_pool = binomial_tail(F.col("k_pool"), F.lit(pool["n"]).cast("long"), limit) > level
+    fails = F.when(F.col("pooled"), in_pool | (F.col("k") > limit * F.col("n"))).otherwise(
+        binomial_tail(F.col("k"), F.col("n"), limit) > level
+    )
+    so_far = Window.partitionBy("stratum").orderBy("t")
+    accepted = one.withColumn("failed", fails.cast("int")).withColumn("failed", F.max("failed").over(so_far)).filter("failed = 0")
+    return accepted.groupBy("stratum").agg(
+        *[F.min(F.when(F.col("rule") == r, F.col("c"))).alias(r) for r in GRID], F.first("pooled").alias("pooled")
+    )
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang", m: str = "m") -> DataFrame:

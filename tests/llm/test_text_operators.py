@@ -100,6 +100,39 @@ def test_quality_rejects_junk_and_keeps_good(spark):
     assert few == set(range(1600))
 
 
+def test_small_strata_get_rules(spark):
+    # stratum -> labelled good documents, junk documents
+    sizes = {"en": (300, 20), "de": (150, 20), "fr": (30, 20), "es": (0, 20), None: (5, 5)}
+    made, labelled = [], []
+    for lang, (n_good, n_junk) in sizes.items():
+        for j in range(n_good + n_junk):
+            mark = "" if j < n_good else "$$$"
+            made.append((len(made), " ".join(f"v{j}x{w}{mark}" for w in range(60)), lang, j < n_good))
+            labelled += [(made[-1][0], 1)] if j < n_good else []
+    frame = spark.createDataFrame([r[:3] for r in made], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(labelled, "doc_id long, quality int")
+    kept = {r.doc_id for r in quality_rules.keep_good(frame, labels).collect()}
+    assert kept == {r[0] for r in made if r[3]}
+    measured = frame.select("doc_id", "lang", quality_rules.measures(F.col("text")).alias("m"))
+    found = {r.stratum: r for r in quality_rules.calibrate(measured, labels).collect()}
+    assert {k: r.pooled for k, r in found.items()} == {"en": False, "de": False, "fr": True, "es": True, None: True}
+    # pooled cutoffs stop where the stratum's own good documents are lost
+    odd = frame.withColumn("text", F.when(F.col("lang") == "fr", F.concat("text", F.lit(" ###" * 5))).otherwise(F.col("text")))
+    lost = {r.doc_id for r in quality_rules.quality_verdicts(odd, labels).filter("not kept").collect()}
+    assert not lost & {r[0] for r in made if r[3]}
+
+
+def test_joint_loss_stays_below_the_limit(spark):
+    # ten labelled good documents in 400 break one rule each: 2.5 % per rule, 5 % together
+    good = [" ".join(f"v{i}x{j}" for j in range(60)) for i in range(400)]
+    for i in range(10):
+        good[i] = " ".join(f"v{i}x{j}$$$" for j in range(60))
+        good[10 + i] = " ".join(f"v{i}x{j}!" for j in range(60))
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
+    assert quality_rules.keep_good(frame, labels).count() > 380
+
+
 def test_keep_good_keeps_columns(spark, docs):
     labels = spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id long, quality int")
     kept = quality_rules.keep_good(docs, labels)
