@@ -16,6 +16,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -49,12 +50,22 @@ class Encoder:
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, file)}
-        # `<|endoftext|>` inside a text is ordinary text
+        # tokens added to the vocabulary (`<|endoftext|>`) stand for their id, as `tokenizers` reads them
+        with open(re.sub(r"\.tiktoken$", ".json", path), encoding="utf-8") as file:
+            self.added = {t["content"]: np.asarray([t["id"]], dtype="<u4").tobytes() for t in json.load(file)["added_tokens"]}
+        longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.at_added = re.compile(f"({'|'.join(longest_first)})") if self.added else None
         self.bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
+        parts = self.at_added.split(text) if self.at_added else [text]
+        if len(parts) == 1:
+            return self._ordinary(text)
+        return b"".join(self.added[part] if i % 2 else self._ordinary(part) for i, part in enumerate(parts))
+
+    def _ordinary(self, text: str) -> bytes:
         if _UNSAFE.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")

@@ -334,6 +334,15 @@ def test_word_cache_gives_the_same_ids(text):
     assert np.frombuffer(packing.encoder(VOCABULARY).encode(text), "<u4").tolist() == expected
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n  y z", "<|endoftext| >"])
+def test_added_tokens_stand_for_their_ids(text):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = plain.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.encoder(VOCABULARY).encode(text), dtype="<u4").tolist() == expected
+
+
 def test_plan_uses_the_histogram_up():
     histogram = {c: (c * 37) % 91 + 1 for c in range(1, 257)}
     plan = packing.plan_sequences(histogram, 2048)
