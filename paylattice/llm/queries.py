@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylattice.llm import chat, jaccard_join, line_dedup, mixing, packing, quality_rules, sharding, suffix_dedup, topk, url_filter
+from paylattice.llm import (
+    chat, jaccard_join, line_dedup, mixing, packing, periodic, quality_rules, sharding, suffix_dedup, topk, url_filter,
+)
+from paylattice.llm.common import let, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -185,3 +188,78 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_chosen_path_join")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def planted_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text: a tenth of the documents, drawn by the checksum of the id, repeat a part of their words."""
+    split = docs.select("doc_id", "text", words(F.col("text")).alias("w"), F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    n, g = F.size("w").cast("long"), F.floor(F.col("h") / 10).cast("long")
+    first = F.when(n > 0, g % n)
+    period = F.lit(1).cast("long") + F.floor((n - first) / (F.lit(3) + g % 8)).cast("long")
+    chosen = F.coalesce((F.col("h") % 10 == 0) & (n > 0), F.lit(False))
+    repeated = F.array_join(periodic.repeat_words(F.col("w"), first, period), " ")
+    return split.select("doc_id", F.when(chosen, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(planted_texts(table(spark, folder, "documents").select("doc_id", "text")))
+    runs = F.col("periodic.runs")
+    listed = F.array_join(
+        F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), ""
+    )
+    best = periodic.strongest(runs)
+    return found.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), *[best[c].alias(c) for c in ("start", "length", "period")],
+        let(best, lambda b: (1000 * b["length"] - 1000 * b["length"] % b["period"]) / b["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.encode(listed, "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("periodic.collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+# All equal five-word windows of a text, gaps and islands per lag, and of nested runs the smallest period.
+SQL["op13_periodic_runs"] = rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), {WORD_SQL}) AS w,
+    4294967295 - list_reduce(
+      list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, v: CASE WHEN v >= 0 THEN xor(c, v)
+        ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END) END) AS h
+  FROM documents),
+drawn AS (SELECT *, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS chosen FROM split),
+placed AS (SELECT *, CASE WHEN chosen THEN g % n END AS a FROM drawn),
+sized AS (SELECT *, CASE WHEN chosen THEN 1 + (n - a) // (3 + g % 8) END AS p FROM placed),
+docs AS (
+  SELECT d, doc_id, CASE WHEN chosen THEN
+    list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w, n
+  FROM sized),
+word AS (SELECT d, unnest(range(n)) AS i, unnest(w) AS x FROM docs),
+grams AS (
+  SELECT d, i, array_to_string([x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o], ' ') AS x
+  FROM word WINDOW o AS (PARTITION BY d ORDER BY i) QUALIFY lead(x, 4) OVER o IS NOT NULL),
+pairs AS (
+  SELECT a.d, b.i - a.i AS q, a.i, a.i - row_number() OVER (PARTITION BY a.d, b.i - a.i ORDER BY a.i) AS island
+  FROM grams a JOIN grams b ON a.d = b.d AND a.x = b.x AND a.i < b.i),
+stretch AS (
+  SELECT d, min(i) AS start, max(i) - min(i) + 5 + q AS length, q AS period FROM pairs GROUP BY d, q, island),
+long_enough AS (SELECT * FROM stretch WHERE length >= greatest(6, 4 * period)),
+runs AS (
+  SELECT * FROM long_enough r WHERE NOT EXISTS (
+    SELECT 1 FROM stretch s WHERE s.d = r.d AND s.period < r.period AND s.start <= r.start
+      AND s.start + s.length >= r.start + r.length)),
+best AS (
+  SELECT * FROM runs a QUALIFY row_number() OVER (PARTITION BY d ORDER BY
+    CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+listed AS (
+  SELECT d, count(*) AS n_runs,
+    string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs
+  FROM runs GROUP BY d),
+gone AS (SELECT DISTINCT d, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT word.d, string_agg(x, ' ' ORDER BY word.i) AS collapsed
+  FROM word LEFT JOIN gone ON word.d = gone.d AND word.i = gone.i WHERE gone.i IS NULL GROUP BY word.d)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (d) LEFT JOIN best USING (d) LEFT JOIN kept USING (d)
+"""
