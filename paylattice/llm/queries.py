@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylattice.llm import (
-    chat, jaccard_join, line_dedup, mixing, packing, periodic, quality_rules, sharding, suffix_dedup, topk, url_filter,
+    chat, jaccard_join, line_dedup, mixing, packing, periodic, quality_rules, sharding, simhash, suffix_dedup, topk,
+    url_filter,
 )
 from paylattice.llm.common import let, words
 
@@ -263,3 +264,8 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * leng
   sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
 FROM docs LEFT JOIN listed USING (d) LEFT JOIN best USING (d) LEFT JOIN kept USING (d)
 """
+
+
+@query("op11_simhash_trie")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
