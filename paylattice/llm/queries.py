@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paylattice.llm import (
     chat, jaccard_join, line_dedup, mixing, packing, periodic, quality_rules, sharding, simhash, suffix_dedup, topk,
-    url_filter,
+    url_filter, whitening,
 )
 from paylattice.llm.common import let, words
 
@@ -269,3 +269,14 @@ FROM docs LEFT JOIN listed USING (d) LEFT JOIN best USING (d) LEFT JOIN kept USI
 @query("op11_simhash_trie")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op12_block_whitening")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    x = whitening.fixed_point(F.col("embedding"), scale=64, shift=1_000_000)
+    rows = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", x.alias("vector")), components=32)
+    pairs = F.arrays_zip("whitening.whitened", "whitening.explained")
+    return rows.select("vec_id", "whitening.*", F.posexplode(pairs).alias("place", "pair")).select(
+        "vec_id", (F.col("place") + 1).cast("int").alias("component"), "n", "deviation", "pair.whitened", "pair.explained",
+        "identity_error",
+    )

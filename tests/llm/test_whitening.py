@@ -1,0 +1,95 @@
+"""Whitening against numpy and exact integers."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from conftest import SMALL
+from pyspark.sql import functions as F
+
+from paylattice.llm import whitening
+from paylattice.llm.queries import QUERIES
+
+
+def check(rows, kept, components):
+    """rows: (id, whitening struct); kept: id -> list of ints."""
+    ids = [i for i, _ in kept]
+    x = np.array([v for _, v in kept], dtype=object)
+    n, sums = len(kept), x.sum(axis=0)
+    exact = {i: sum((n * a - s) ** 2 for a, s in zip(v, sums)) for i, v in kept}
+    centred = (x - np.array([s // n for s in sums], dtype=object)).astype(float) - np.array([s % n for s in sums], float) / n
+    covariance = centred.T @ centred / n
+    values, axes = np.linalg.eigh(covariance)
+    values, axes = values[::-1], axes[:, ::-1]
+    k = min(components, int((values > 1e-12 * values.sum()).sum()))
+    assert sorted(str(i) for i, _ in rows) == sorted(map(str, ids))
+    assert {r["n"] for _, r in rows} == {n}
+    assert all(r["deviation"] == exact[i] for i, r in rows)
+    assert {len(r["whitened"]) for _, r in rows} == {k}
+    if not k:
+        assert {r["identity_error"] for _, r in rows} == {None}
+        return
+    np.testing.assert_allclose(rows[0][1]["explained"], values[:k] / values.sum(), rtol=1e-9)
+    expected = dict(zip(ids, centred @ axes[:, :k] / np.sqrt(values[:k])))
+    got = {i: np.array(r["whitened"]) for i, r in rows}
+    signs = np.sign(sum(expected[i] * got[i] for i in got))
+    for i in got:
+        np.testing.assert_allclose(got[i], expected[i] * signs, atol=1e-6)
+    w = np.array([r["whitened"] for _, r in rows])
+    w = w - w.mean(axis=0)
+    error = np.abs(w.T @ w / n - np.eye(k)).max()
+    assert rows[0][1]["identity_error"] == pytest.approx(error, abs=1e-9) and error < 1e-4
+
+
+def collect(frame, id_column="vec_id"):
+    return [(r[id_column], r.whitening.asDict()) for r in frame.collect()]
+
+
+@pytest.mark.parametrize("block_rows, per_task", [(1024, 64), (16, 2)])
+def test_query_against_numpy(spark, block_rows, per_task, monkeypatch):
+    monkeypatch.setattr(whitening, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(whitening, "BLOCKS_PER_TASK", per_task)
+    got = QUERIES["op12_block_whitening"](spark, SMALL)
+    assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    rows = {}
+    for r in got.orderBy("vec_id", "component").collect():
+        row = rows.setdefault(r.vec_id, {"n": r.n, "deviation": r.deviation, "identity_error": r.identity_error, "whitened": [], "explained": []})
+        assert r.component == len(row["whitened"]) + 1
+        row["whitened"].append(r.whitened)
+        row["explained"].append(r.explained)
+    source = spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()
+    check(list(rows.items()), [(r.vec_id, [int(np.floor(64 * float(c))) + 1_000_000 for c in r.embedding]) for r in source], 32)
+
+
+def test_odd_vectors(spark):
+    rng = np.random.default_rng(4)
+    good = [(i, [float(c) for c in rng.normal(size=5)]) for i in range(80)]
+    good += [(100, good[0][1]), (101, good[0][1])]  # equal vectors
+    bad = [
+        (200, None), (201, [1.0, None, 0.0, 0.0, 0.0]), (202, [float("nan")] * 5), (203, [float("inf"), 0.0, 0.0, 0.0, 0.0]),
+        (204, []), (205, [1.0, 2.0]), (206, [1e300, 0.0, 0.0, 0.0, 0.0]),
+    ]
+    frame = spark.createDataFrame(good + bad, "vec_id long, embedding array<double>").select(
+        "vec_id", whitening.fixed_point(F.col("embedding"), 64, 1_000_000).alias("vector"), F.lit(1).alias("_number"),
+        F.lit("x").alias("whitening"), F.lit(2).alias("index"), F.lit(3).alias("n"),
+    )
+    kept = [(i, [int(np.floor(64 * c)) + 1_000_000 for c in v]) for i, v in good]
+    got = whitening.whiten(frame, components=3)
+    assert got.columns == ["vec_id", "vector", "_number", "index", "n", "whitening"]
+    check(collect(got), kept, 3)
+
+
+def test_flat_directions_and_few_rows(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    # the third entry never changes, the fourth is the double of the first
+    rows = [(i, [i * 7 % 11, i * i % 13, 5, 2 * (i * 7 % 11)]) for i in range(40)]
+    got = collect(whitening.whiten(frame(rows)))
+    check(got, rows, 32)
+    assert len(got[0][1]["whitened"]) == 2
+    for rows in ([(1, [3, 4])], [(1, [3, 4]), (2, [3, 4])]):
+        check(collect(whitening.whiten(frame(rows))), rows, 32)
+    for rows in ([], [(1, None), (2, [])]):
+        assert whitening.whiten(frame(rows)).count() == 0
+    # too large for an exact long: null, not an error
+    far = collect(whitening.whiten(frame([(1, [0, 0]), (2, [1 << 51, 7])])))
+    assert {r["deviation"] for _, r in far} == {None}
