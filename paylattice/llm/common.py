@@ -31,15 +31,15 @@ def _setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write the rows to the shared folder and go on from the written table.
+def cut(df: DataFrame, name: str = "cut", **options) -> DataFrame:
+    """Write the rows to the shared folder and go on from the written table; options are those of the writer.
 
     Lost executors cannot undo the work, and the shuffle files of the finished job are freed at once.
     """
     spark = df.sparkSession
     path = f"{stage_dir(spark)}/{name}/{uuid.uuid4().hex}"
     with _setting(spark, _CLEANUP, "true"):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,8 +14,9 @@ Documents are sets of five-word shingles; pairs with a Jaccard similarity of 0.8
 4. Connected components of the verified links are the classes of the result.
 
 Texts of fewer than five words are one shingle of all their words. Documents without words, with null text
-or with a null doc_id link to nothing. Rows that share a doc_id are taken as one document. Sizes of tasks do
-not depend on how many copies a text has. An empty table gives no rows.
+or with a null doc_id link to nothing. Rows equal in doc_id and text are one document; rows that share only
+the doc_id are documents of their own, told apart by their text. Sizes of tasks do not depend on how many
+copies a text has. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylattice.llm.common import cut, ship_package
+from paylattice.llm.common import cut, fresh, ship_package
 from paylattice.llm.components import connected_components
 
 SHINGLE = 5
@@ -40,7 +41,9 @@ LEVELS = 4
 RECALL = 0.99
 # Sketches of a pair at the threshold agree on at least this many of 128 bytes but once in some thousand pairs.
 _SKETCH_LEAST = 87
-_BLOCK_ROWS, _BLOCK_BYTES = 1024, 8 << 20
+_BLOCK_ROWS, _BLOCK_BYTES = 1024, 4 << 20
+# Shingles of a cell that are numbered at once, and bytes of sets in one batch; they bound a task's memory.
+_AT_ONCE, _BATCH_BYTES = 1 << 18, 4 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -77,22 +80,23 @@ def minhash(values: np.ndarray) -> np.ndarray:
 
 
 _SETS = pa.schema([
-    ("doc", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("sketch", pa.binary()),
+    ("doc", pa.int64()), ("th", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("sketch", pa.binary()),
 ])
 
 
+def _code(values: np.ndarray) -> tuple[int, int]:
+    code = xxhash.xxh3_128_digest(values.tobytes())
+    return int.from_bytes(code[:8], "little", signed=True), int.from_bytes(code[8:], "little", signed=True)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-            s = shingles(text)
+        for doc, th, text in zip(*batch.columns):
+            s = shingles(text.as_py())
             if len(s):
-                code = xxhash.xxh3_128_digest(s.tobytes())
                 m = minhash(s)
-                rows.append((
-                    doc, int.from_bytes(code[:8], "little", signed=True), int.from_bytes(code[8:], "little", signed=True),
-                    len(s), m.tobytes(), m.astype(np.uint8).tobytes(),
-                ))
+                rows.append((doc.as_py(), th.as_py(), *_code(s), len(s), m.tobytes(), m.astype(np.uint8).tobytes()))
         for a in range(0, len(rows), 2000):
             yield _rows(rows[a : a + 2000], _SETS)
 
@@ -227,11 +231,18 @@ _MEMBERS = pa.schema([
 
 
 def _member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of representatives; a row that has only the id of one, and another text, is left out."""
     for batch in batches:
-        *rest, texts = (c.to_pylist() for c in batch.columns)
-        rows = [(*r, shingles(t).tobytes()) for *r, t in zip(*rest, texts)]
-        for a in range(0, len(rows), 500):
-            yield _rows(rows[a : a + 500], _MEMBERS)
+        rows, size = [], 0
+        for *rest, h1, h2, text in zip(*batch.columns):
+            values = shingles(text.as_py())
+            if _code(values) == (h1.as_py(), h2.as_py()):
+                rows.append((*(x.as_py() for x in rest), values.tobytes()))
+                size += values.nbytes
+            if size > _BATCH_BYTES:
+                yield _rows(rows, _MEMBERS)
+                rows, size = [], 0
+        yield _rows(rows, _MEMBERS)
 
 
 _LINKS = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("partners", pa.int64()), ("root", pa.int64())])
@@ -245,13 +256,34 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (part, low, high) != cell:
                 out += _links(held, cell)
                 cell, held = (part, low, high), []
-            held.append(member)
+            if not held or held[-1][0] != member[0]:  # a repeated row of the representative
+                held.append(member)
         if len(out) > 5000:
             yield _rows(out, _LINKS)
             out = []
     yield _rows(out + _links(held, cell), _LINKS)
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = times > 1  # values of one set only add nothing
+    number = np.cumsum(twice) - 1
+    pick = twice[column]
+    owner, column = owner[pick], number[column[pick]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    step = 1024
+    for a in range(0, int(twice.sum()), step):
+        x, y = np.searchsorted(column, [a, a + step])
+        there = np.zeros((len(sets), step), dtype=np.float32)
+        there[owner[x:y], column[x:y] - a] = 1
+        common += there @ there.T
+    return common
+
+
 def _links(members: list[list], cell: tuple | None) -> list[tuple]:
     """(rep, linked sets, linked documents, root) of each linked member of a cell; members: rep, copies, block, set."""
     if len(members) < 2:
@@ -263,21 +295,14 @@ def _links(members: list[list], cell: tuple | None) -> list[tuple]:
         common = np.zeros((2, 2))
         common[0, 1] = common[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
     else:
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = times > 1  # shingles of one set only add nothing
-        number = np.cumsum(shared) - 1
-        pick = shared[column]
-        owner, column = owner[pick], number[column[pick]]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
         common = np.zeros((len(sets), len(sets)), dtype=np.float32)
-        step = 4096
-        for a in range(0, int(shared.sum()), step):
-            x, y = np.searchsorted(column, [a, a + step])
-            there = np.zeros((len(sets), step), dtype=np.float32)
-            there[owner[x:y], column[x:y] - a] = 1
-            common += there @ there.T
+        at = np.zeros(len(sets), np.int64)
+        parts = -(-int(sizes.sum()) // _AT_ONCE)
+        for part in range(1, parts + 1):  # shingles are hashes, so ranges of them are of like size
+            last = np.uint64(part * (2**64 // parts)) if part < parts else None
+            to = sizes if last is None else np.array([np.searchsorted(x, last) for x in sets])
+            common += _shared([x[i:j] for x, i, j in zip(sets, at, to)])
+            at = to
     over, under = THRESHOLD
     linked = (over + under) * common >= over * (sizes[:, None] + sizes[None, :])
     np.fill_diagonal(linked, False)
@@ -298,32 +323,35 @@ def _links(members: list[list], cell: tuple | None) -> list[tuple]:
     ]
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, n_text_links: one row per row of `docs`.
-
-    `class_id` is the smallest doc_id of the connected group. `n_links` counts the other documents with a
-    similarity of 0.8 or more, copies included; `n_text_links` counts different texts among them.
-    """
+def _classified(docs: DataFrame, text: str, recall: float) -> DataFrame:
+    """doc, th (hash of the text), class_id, first_th (of the text that stands for the class), n_links and
+    n_text_links of every document that has words and an id."""
     ship_package(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    plain = docs.select(
+        F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("th"),
+        F.col(text).cast("string").alias("text"),
+    )
     sets = cut(
         plain.filter("doc is not null").mapInArrow(
-            _sets, "doc long, h1 long, h2 long, n long, hashes binary, sketch binary"
+            _sets, "doc long, th long, h1 long, h2 long, n long, hashes binary, sketch binary"
         ),
         "sets",
     )
+    # classes are numbered as they are written: a document's id does not tell its texts apart
     classes = cut(
-        sets.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count_distinct("doc").alias("copies")), "classes"
+        sets.groupBy("h1", "h2")
+        .agg(F.min(F.struct("doc", "th")).alias("first"), F.count_distinct("doc", "th").alias("copies"))
+        .select("h1", "h2", "first.doc", "first.th", "copies", F.monotonically_increasing_id().alias("rep")),
+        "classes",
     )
     stand = cut(
-        sets.join(classes, (sets["doc"] == classes["rep"]) & (sets["h1"] == classes["h1"]) & (sets["h2"] == classes["h2"]))
-        .select("rep", "n", "copies", "hashes", "sketch")
+        sets.join(classes, ["doc", "th", "h1", "h2"]).select("rep", "doc", "h1", "h2", "n", "copies", "hashes", "sketch")
         .dropDuplicates(["rep"]),
         "stand",
     )
     loose = connected_components(_candidates(stand, recall))
 
-    weights = loose.join(stand.select("rep", "n", "copies"), loose["node"] == stand["rep"])
+    weights = loose.join(stand.select("rep", "doc", "h1", "h2", "n", "copies"), loose["node"] == stand["rep"])
     blocks = weights.groupBy("component").agg(
         F.greatest(
             F.ceil(F.count(F.lit(1)) / _BLOCK_ROWS), F.ceil(F.sum("n") * 8 / _BLOCK_BYTES)
@@ -331,16 +359,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", recall: float = RECALL)
     )
     members = weights.join(blocks, "component").select(
         F.col("component").alias("part"), "rep", "copies", "blocks",
-        F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"),
+        F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), "h1", "h2", F.col("doc").alias("first"),
     )
     cells = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda q: F.struct(F.least(q, "block").alias("low"), F.greatest(q, "block").alias("high")),
     )
     dealt = (
-        plain.join(members.hint("merge"), F.col("doc") == F.col("rep"))
-        .dropDuplicates(["rep"])
-        .select("part", "rep", "copies", "blocks", "block", "text")
+        plain.join(members.hint("merge"), F.col("doc") == F.col("first"))
+        .select("part", "rep", "copies", "blocks", "block", "h1", "h2", "text")
         .mapInArrow(_member_sets, "part long, rep long, copies long, blocks long, block long, set binary")
         .select("part", F.explode(cells).alias("cell"), "rep", "copies", "block", "set")
         .select("part", "cell.low", "cell.high", "rep", "copies", "block", "set")
@@ -350,28 +377,52 @@ def near_duplicates(docs: DataFrame, text: str = "text", recall: float = RECALL)
     links = cut(dealt.mapInArrow(_verify, "rep long, links long, partners long, root long"), "links")
     counted = links.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("partners").alias("partners"))
     grouped = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    joined = classes.join(counted, "rep", "left").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
+    joined = cut(joined.withColumn("component", F.coalesce("component", "rep")), "joined")
+    named = joined.groupBy("component").agg(F.min(F.struct("doc", "th")).alias("named"))
     known = cut(
-        classes.join(counted, "rep", "left")
-        .join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(
-            "h1", "h2", F.coalesce("component", "rep").alias("class_id"),
+        joined.join(named, "component").select(
+            "h1", "h2", F.col("named.doc").alias("class_id"), F.col("named.th").alias("first_th"),
             (F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.coalesce("links", F.lit(0)).alias("n_text_links"),
         ),
         "known",
     )
-    found = sets.select("doc", "h1", "h2").distinct().join(known, ["h1", "h2"]).groupBy("doc").agg(
-        F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.max("n_text_links").alias("n_text_links")
-    )
+    return sets.select("doc", "th", "h1", "h2").distinct().join(known, ["h1", "h2"]).drop("h1", "h2")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links, n_text_links: one row per row of `docs`.
+
+    `class_id` is the smallest doc_id of the connected group. `n_links` counts the other documents with a
+    similarity of 0.8 or more, copies included; `n_text_links` counts different sets of shingles among them.
+    """
+    found = _classified(docs, text, recall)
     zero = F.lit(0).cast("long")
-    return docs.select("doc_id").join(found, F.col("doc_id") == F.col("doc"), "left").select(
+    rows = docs.select("doc_id", F.xxhash64(F.col(text).cast("string")).alias("row_th"))
+    return rows.join(found, (F.col("doc_id") == F.col("doc")) & (F.col("row_th") == F.col("th")), "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"),
         F.coalesce("n_text_links", zero).alias("n_text_links"),
     )
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One document of each class, the one with the smallest id; rows without an id stay."""
-    first = near_duplicates(docs, text).filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each class, the one with the smallest id (then hash of the text), and every row without
+    words or without an id. Of rows equal in id and text one stays, in the columns of any of them."""
+    found = cut(_classified(docs, text, RECALL), "found")
+    key, other_id, other_th = fresh(docs, "th", "other_id", "other_th")
+    hashed = docs.withColumn(key, F.xxhash64(F.col(text).cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_th))
+    named = lambda rows: rows.select(F.col("doc").alias(other_id), F.col("th").alias(other_th))
+    kept = hashed.join(named(found.filter("doc <> class_id or th <> first_th")).hint("merge"), same, "left_anti")
+    # few documents stand in several rows; only the texts of those are grouped once more
+    repeated = cut(
+        hashed.select("doc_id", key).join(named(found), same).groupBy(other_id, other_th)
+        .agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(other_id, other_th),
+        "repeated",
+    )
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(repeated.hint("merge"), same, "left_anti")
+    more = kept.join(repeated.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", key])
+    return once.unionByName(more).select(*docs.columns)

@@ -114,8 +114,12 @@ def _remove_repeated(
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, th, body in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(doc, th, first, n, *_code(chunk)) for first, n, chunk in parts(body or "")]
+            for doc, th, body in zip(*batch.columns):
+                doc, th = doc.as_py(), th.as_py()
+                rows += [(doc, th, first, n, *_code(chunk)) for first, n, chunk in parts(body.as_py() or "")]
+                if len(rows) > 20_000:
+                    yield _batch(rows, places)
+                    rows = []
             yield _batch(rows, places)
 
     chunks = cut(keyed.mapInArrow(find, "id long, th long, first long, n long, h1 long, h2 long"))
@@ -142,9 +146,9 @@ def _remove_repeated(
     def lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = {}
-            for body, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                lines = body.split("\n")
-                for s in spans:
+            for body, spans in zip(*batch.columns):
+                lines = body.as_py().split("\n")
+                for s in spans.as_py():
                     chunk = "\n".join(lines[s["first"] : s["first"] + s["n"]])
                     found[s["h1"], s["h2"], chunk] = None  # copies within the batch once
             yield _batch(list(found), bodies)

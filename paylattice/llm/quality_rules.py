@@ -227,7 +227,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """
     row = F.struct(*docs.columns).alias("doc")
     stratum = F.col(options.pop("stratum", "lang")).alias("stratum")
-    measured = cut(docs.select(row, "doc_id", stratum, measures(F.col("text")).alias("m")), "measured")
+    beside = docs.select(row, "doc_id", stratum, measures(F.col("text")).alias("m"))
+    # texts are large, and a writer and a reader hold a row group in memory
+    measured = cut(beside, "measured", **{"parquet.block.size": 16 << 20})
     counts = measured.select("doc_id", "stratum", "m")
     cutoffs = calibrate(counts, labels, stratum="stratum", **options)
     return judge(measured, cutoffs, "stratum").filter("kept").select("doc.*")

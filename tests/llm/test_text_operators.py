@@ -448,21 +448,42 @@ def exact_links(pairs):
     return {i: (root(i), links[i]) for i, _ in sets}
 
 
-def test_near_duplicates(docs):
+def check_near_duplicates(docs):
     got = rows(jaccard_join.near_duplicates(docs))
     source = rows(docs.select("doc_id", "text"))
     assert len(got) == len(source)
-    known = {r["doc_id"]: r["text"] for r in source if r["doc_id"] is not None}  # rows that share an id are one document
-    expected = exact_links([(i, WORD.findall(t or "")) for i, t in known.items()])
-    for r in got:
-        if r["doc_id"] is None:
-            assert (r["class_id"], r["n_links"]) == (None, 0)
-        else:
-            assert (r["class_id"], r["n_links"]) == expected[r["doc_id"]]
+    texts = [(r["doc_id"], r["text"]) for r in source]
+    units = {u: (u[0], n) for n, u in enumerate(dict.fromkeys(t for t in texts if t[0] is not None))}  # equal rows are one
+    found = exact_links([(key, WORD.findall(t or "")) for (_, t), key in units.items()])
+    expected = [
+        (doc, found[units[doc, t]][0][0], found[units[doc, t]][1]) if doc is not None else (None, None, 0) for doc, t in texts
+    ]
+    assert collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == collections.Counter(expected)
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
-    nulls = sum(r["doc_id"] is None for r in source)
-    assert kept.count() == nulls + sum(i == c for i, (c, _) in expected.items())
+    free = sum(doc is None or not WORD.search(t or "") for doc, t in texts)
+    groups = {found[key][0] for (_, t), key in units.items() if WORD.search(t or "")}
+    assert kept.count() == free + len(groups)
+    stay = {(r["doc_id"], r["text"]) for r in rows(kept)}
+    assert all(g[0] in {doc for doc, _ in stay} for g in groups)
+
+
+def test_near_duplicates(docs):
+    check_near_duplicates(docs)
+
+
+def test_rows_that_share_an_id_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_AT_ONCE", 64)  # several ranges of shingles
+    word = lambda a, n: " ".join(f"s{i}" for i in range(a, a + n))
+    data = [
+        (1, word(0, 60)), (1, word(100, 60)), (2, word(100, 61)), (2, word(300, 40)), (3, word(0, 61)), (3, word(0, 60)),
+        (1, word(0, 60)), (4, ""), (4, ""), (5, word(300, 40)), (5, "  " + word(300, 40)),
+    ]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    check_near_duplicates(frame)
+    kept = sorted((r.doc_id, r.text) for r in jaccard_join.keep_one(frame).collect())
+    assert [d for d, _ in kept] == [1, 1, 2, 4, 4] and (2, word(300, 40)) in kept
+    assert kept == sorted((r.doc_id, r.text) for r in jaccard_join.keep_one(frame.repartition(7)).collect())
 
 
 def test_large_group_of_near_copies(spark, monkeypatch):
