@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paylattice.operators.forest import forest_topk
 from paylattice.operators.ranking import ranking_metrics
 from paylattice.operators.retrieval import ann_topk, exact_topk
 from paylattice.sources.tables import reuse, write_json
@@ -41,8 +42,8 @@ def evaluate_offline(
     item_vectors = reuse(spark, f"{root}/item_embeddings", vectors_mark, items)
 
     def nearest() -> DataFrame:
-        if search == "ann":
-            return ann_topk(user_vectors, item_vectors, k)
+        if search in ("forest", "clusters"):
+            return (forest_topk if search == "forest" else ann_topk)(user_vectors, item_vectors, k)
         return exact_topk(user_vectors, item_vectors, k, metric)
 
     recs_mark = fingerprint(**configuration, k=k, search=search, metric=metric)

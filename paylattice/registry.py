@@ -21,6 +21,7 @@ from paylattice.config import (
 from paylattice.functions.columns import dot
 from paylattice.operators import (
     embeddings,
+    forest,
     indexing,
     interactions,
     learning,
@@ -380,6 +381,17 @@ def _(d: Demo):
     return retrieval.recall_report(users, items, k, seed=d.cfg.seed)
 
 
+@query("ann_topk_forest")
+def _(d: Demo):
+    return forest.forest_topk(d.query_vectors(), d.catalogue_vectors(), d.cfg.top_k, seed=d.cfg.seed)
+
+
+@query("ann_recall_forest")
+def _(d: Demo):
+    """Share of all pairs that the forest scores, its recall against the exact search, and its shape."""
+    return forest.forest_report(d.query_vectors(), d.catalogue_vectors(), d.cfg.top_k, seed=d.cfg.seed)
+
+
 @query("pair_scores")
 def _(d: Demo):
     paid = d.train().select("inn_dt", "inn_kt").distinct()
@@ -700,7 +712,7 @@ def _learned(side: str):
         return offline.evaluate_offline(
             d.spark, d.scratch(f"offline_als_{side}"), lambda: ranking.restrict_users(factors()[0], truth.distinct()),
             lambda: factors()[1], truth, d.cfg.top_k, d.cfg.metrics_k,
-            {"vectors": "als", "side": side, "folder": d.folder, "settings": asdict(d.cfg)}, search="ann",
+            {"vectors": "als", "side": side, "folder": d.folder, "settings": asdict(d.cfg)}, search="forest",
         )
 
     return build
