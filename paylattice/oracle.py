@@ -344,6 +344,53 @@ def numbers(side: str) -> str:
     )
 
 
+def _tower(width: int = 16, emb_width: int = 64) -> str:
+    """Forward pass of a tower whose weights follow from their number, row and column, one layer per subquery."""
+    names = index_features("kt")
+    numbers = "avg_sum stddev_sum min_sum max_sum median_sum buyers_count".split()
+    logged = [f"ln(1 + kt_{n}::DOUBLE)" for n in numbers]
+    nums = ", ".join([*logged[:5], "kt_skewness_sum::DOUBLE", logged[5]])
+
+    def w(n, row, col):
+        return f"((({n}) * 7 + ({row}) * 5 + ({col}) * 3) % 13 - 6) / 20.0"
+
+    def block(first: int, size: int) -> str:
+        """Batch norm, linear layer, batch norm and ReLU of the list x."""
+        normed = f"(x[k + 1] - {w(first, 0, 'k')}) / sqrt(1 + abs({w(first + 1, 0, 'k')}) + 1e-5)"
+        linear = f"list_sum(list_transform(range({size}), lambda k: {normed} * ({w(first + 2, 'c', 'k')}))) + {w(first + 3, 0, 'c')}"
+        out = f"({linear} - ({w(first + 4, 0, 'c')})) / sqrt(1 + abs({w(first + 5, 0, 'c')}) + 1e-5) * (1 + {w(first + 6, 0, 'c')}) + {w(first + 7, 0, 'c')}"
+        return f"list_transform(range({width}), lambda c: greatest({out}, 0))"
+
+    def times(n: int) -> str:
+        return f"list_transform(range({width}), lambda c: list_sum(list_transform(range({width}), lambda j: x[j + 1] * ({w(n, 'c', 'j')}))))"
+
+    slots = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
+    return f"""
+, slots AS (SELECT slot, least(floor(sqrt(max_index + 1)), {width})::BIGINT AS dim FROM (VALUES {slots}) t(slot, feature) JOIN sizes_kt USING (feature)),
+looked AS (SELECT inn_kt_index AS id, unnest(range({len(names)})) AS slot, unnest([{", ".join(names)}]) AS i FROM indexed_kt),
+tokens AS (
+  SELECT id, slot, list_transform(range({width}), lambda c:
+    list_sum(list_transform(range(dim), lambda j: ({w('slot', 'i', 'j')}) * ({w('slot + 13', 'c', 'j')}))) + {w('slot + 26', 0, 'c')}) AS x
+  FROM looked JOIN slots USING (slot)
+  UNION ALL SELECT id, 13, {block(39, 7)} FROM (SELECT inn_kt_index AS id, [{nums}] AS x FROM indexed_kt)
+  UNION ALL SELECT id, 14, {block(47, emb_width)} FROM (
+    SELECT inn_kt_index AS id, coalesce(embedding::DOUBLE[], list_transform(range({emb_width}), lambda z: 0.0::DOUBLE)) AS x
+    FROM indexed_kt LEFT JOIN (SELECT inn_kt_index, embedding FROM vectors_kt) USING (inn_kt_index))),
+qkv AS (SELECT id, slot, {times(55)} AS q, {times(56)} AS k, {times(57)} AS v FROM tokens),
+scores AS (SELECT a.id, a.slot, b.v, list_inner_product(a.q, b.k) / sqrt({width}) AS s FROM qkv a JOIN qkv b USING (id)),
+attended AS (SELECT id, slot, v, exp(s - max(s) OVER (PARTITION BY id, slot)) AS e FROM scores),
+z AS (SELECT id, slot, c, sum(e * v[c + 1]) / sum(e) AS z FROM attended, range({width}) t(c) GROUP BY ALL),
+gates AS (SELECT id, slot, sum(z * ({w(58, 0, 'c')})) AS g FROM z GROUP BY ALL),
+lifted AS (SELECT id, slot, exp(g - max(g) OVER (PARTITION BY id)) AS g FROM gates),
+shares AS (SELECT id, slot, g / sum(g) OVER (PARTITION BY id) AS g FROM lifted),
+pooled AS (SELECT id, c, sum(z * g) AS u FROM z JOIN shares USING (id, slot) GROUP BY ALL),
+normed AS (
+  SELECT id, c, (u - avg(u) OVER p) / sqrt(var_pop(u) OVER p + 1e-5) * (1 + {w(59, 0, 'c')}) + {w(60, 0, 'c')} AS e
+  FROM pooled WINDOW p AS (PARTITION BY id))
+SELECT id, 'embedding' AS part, c::INTEGER AS place, round(e, 4) + 0.0 AS value FROM normed
+UNION ALL SELECT id, 'weights', slot::INTEGER, round(g, 4) + 0.0 FROM shares"""
+
+
 def _pair_features(user_side: str) -> str:
     columns = ["label", "p.inn_dt_index", "p.inn_kt_index", "short_dt"]
     for role, s in (("user", user_side), ("item", other(user_side))):
@@ -492,6 +539,7 @@ SELECT 'all' AS source, inn_dt_index AS id FROM indexed_dt
 UNION ALL SELECT DISTINCT 'test_dict', inn_dt_index FROM truth_dt
 UNION ALL SELECT 'list', inn_dt_index FROM requests JOIN map_dt USING (inn_dt)""", "indexed_dt", "truth_dt", "requests", "map_dt")
 
+    q["tower_embeddings"] = sql(_tower(), "indexed_kt", "sizes_kt", "vectors_kt")
     q["shuffle_train"] = sql(f"SELECT {DRAW} AS shuffle_key, inn_dt, inn_kt, short_dt FROM train", "train")
     q["positive_pairs"] = sql("""
 SELECT inn_dt, inn_kt, short_dt, inn_dt_index, inn_kt_index FROM test JOIN map_dt USING (inn_dt) JOIN map_kt USING (inn_kt)""",

@@ -644,32 +644,42 @@ def _(d: Demo):
     return learning.score_pairs(learning.fit_pair_model(samples, d.cfg.fm_factors, d.cfg.fm_iterations, d.cfg.seed), samples)
 
 
-def _tower_vectors(d: Demo, side: str, source: str = "all") -> DataFrame:
-    cfg = d.cfg
-    sizes = {r["feature"]: r["size"] for r in indexing.feature_sizes(d.indexed(side), side).collect()}
-    tower = towers.seeded_tower(sizes, side, cfg.tower_width, cfg.embedding_width, cfg.n_topics, cfg.seed)
-    weights = d.stage(f"{side}_tables", lambda: towers.seeded_tables(d.labels(side), sizes, cfg.tower_width, cfg.seed))
-    index = f"{entity(side)}_index"
-    vectors = {
-        "emb": (_vectors(d, side).select(index, "embedding"), cfg.embedding_width),
-        "topic": (
-            d.stage(
-                f"{side}_topic_vectors",
-                lambda: topics.topic_vectors(_topic_weights(d, side), _maps(d)[side], side, cfg.n_topics),
-            ),
-            cfg.n_topics,
-        ),
-    }
-    log_features = d.stage(
-        f"{side}_log_features", lambda: indexing.feature_table(profiles.log_stats(d.indexed(side), side), side)
+TOWER_WIDTH = 16
+
+
+def stated_store(d: Demo, shapes: dict[str, tuple[int, int]]) -> DataFrame:
+    """Weights stated by arithmetic on the number of the weight, its row and its column, as no trained ones are published."""
+    stated = d.spark.createDataFrame(
+        [(name, n, *shape) for n, (name, shape) in enumerate(shapes.items())], "name string, n int, rows int, cols int"
     )
-    ids = retrieval.entity_ids(source, d.indexed(side), d.truth(side), index).toDF("id")
-    return towers.tower_embeddings(ids, log_features, weights, tower, side, cfg.tower_width, vectors)
+    spread = stated.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
+
+    def value(col):
+        plain = ((F.col("n") * 7 + F.col("row") * 5 + col * 3) % 13 - 6) / F.lit(20.0)
+        return F.when(F.col("name").rlike("[.]var_"), 1 + F.abs(plain)).when(F.col("name").endswith(".scale"), 1 + plain).otherwise(plain)
+
+    return spread.select("name", "row", F.transform(F.sequence(F.lit(0), F.col("cols") - 1), value).alias("vec"))
 
 
 @query("tower_embeddings")
 def _(d: Demo):
-    return _tower_vectors(d, "kt")
+    """Vectors and attention weights of all payees, from a store of given weights."""
+    side, cfg = "kt", d.cfg
+    index = f"{entity(side)}_index"
+    sizes = {r["feature"]: r["max_index"] + 1 for r in indexing.feature_sizes(d.indexed(side), side).collect()}
+    shape = (sizes, side, TOWER_WIDTH, cfg.embedding_width)
+    store = d.stage(f"{side}_tower_store", lambda: stated_store(d, towers.store_shapes(*shape)))
+    tower, weights = towers.read_tower(store, *shape)
+    log_features = d.stage(
+        f"{side}_log_features", lambda: indexing.feature_table(profiles.log_stats(d.indexed(side), side), side)
+    )
+    ids = retrieval.entity_ids("all", d.indexed(side), d.truth(side), index).toDF("id")
+    vectors = {"emb": (_vectors(d, side).select(index, "embedding"), cfg.embedding_width)}
+    found = towers.tower_embeddings(ids, log_features, weights, tower, side, TOWER_WIDTH, vectors)
+    parts = [
+        found.select("id", F.lit(name).alias("part"), F.posexplode(name).alias("place", "value")) for name in ("embedding", "weights")
+    ]
+    return parts[0].unionByName(parts[1]).withColumn("value", F.round("value", 4) + F.lit(0.0))
 
 
 def _offline(side: str):

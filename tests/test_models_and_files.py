@@ -98,6 +98,50 @@ def test_tower_equals_one_entity_at_a_time(spark):
         assert np.allclose(got[i]["weights"], w, atol=1e-5) and len(got[i]["weights"]) == 16
 
 
+def test_weight_store_round_trip(spark, tmp_path, monkeypatch):
+    sizes, tower, weights = tower_fixture(spark)
+    path = str(tmp_path / "store")
+    towers.write_tower(tower, weights).write.parquet(path)
+    store = spark.read.parquet(path)
+    again, tables = towers.read_tower(store, sizes, "kt", 4, 2, 3)
+    names, numbers = index_features("kt"), numeric_features("kt")
+    rows = [tuple([i] + [0] * 6 + [(i + j) % 9 for j in range(6)] + [0.5 * i + j for j in range(7)]) for i in range(9)]
+    features = spark.createDataFrame(rows, ", ".join([f"{n} int" for n in names] + [f"{n} double" for n in numbers]))
+    ids = spark.createDataFrame([(i,) for i in range(9)], "id int")
+    lists = lambda df: {r["id"]: (r["embedding"], r["weights"]) for r in df.collect()}
+    first = lists(towers.tower_embeddings(ids, features, weights, tower, "kt", 4))
+    assert first == lists(towers.tower_embeddings(ids, features, tables, again, "kt", 4))
+    # beyond the broadcast limit: one salted join, the same result
+    monkeypatch.setattr(towers, "BROADCAST_BYTES", 0)
+    assert first == lists(towers.tower_embeddings(ids, features, tables, again, "kt", 4))
+
+
+def test_weight_store_must_fit(spark):
+    sizes, tower, weights = tower_fixture(spark)
+    store = cut_lineage(towers.write_tower(tower, weights))
+    shape = (sizes, "kt", 4, 2, 3)
+    towers.check_store(store, towers.store_shapes(*shape))
+    some = store.filter("name = 'attention.key' and row = 1")
+    broken = {
+        "attention.pool: missing": store.filter("name <> 'attention.pool'"),
+        "attention.key: 3 rows": store.filter("not (name = 'attention.key' and row = 1)"),
+        "attention.key: 5 rows": store.unionByName(some),
+        "attention.query: unknown|attention.other: unknown": store.unionByName(some.withColumn("name", F.lit("attention.other"))),
+        "attention.key: vectors of 3": store.filter("not (name = 'attention.key' and row = 1)").unionByName(
+            some.withColumn("vec", F.slice("vec", 1, 3))
+        ),
+        "attention.key: vectors of -1": store.filter("not (name = 'attention.key' and row = 1)").unionByName(
+            some.withColumn("vec", F.lit(None).cast("array<double>"))
+        ),
+        "table.inn_kt_index: 8 rows": store.filter("not (name = 'table.inn_kt_index' and row = 8)"),
+    }
+    for fault, bad in broken.items():
+        with pytest.raises(ValueError, match=fault):
+            towers.read_tower(bad, *shape)
+    with pytest.raises(ValueError, match="topic.weight: unknown"):
+        towers.read_tower(store, sizes, "kt", 4, 2)
+
+
 def test_embedding_dim_rule():
     assert [towers.embedding_dim(n, 32) for n in (1, 3, 4, 99, 10_000)] == [1, 1, 2, 9, 32]
 

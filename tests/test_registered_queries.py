@@ -13,7 +13,7 @@ from paylattice.registry import QUERIES
 SQL = statements()
 NO_SQL = {
     "als_candidates", "ann_recall", "ann_topk_clusters", "fm_pair_scores", "offline_evaluation_als",
-    "offline_evaluation_als_reverse", "topic_indexed", "topic_weights", "tower_embeddings", "ann_topk_forest",
+    "offline_evaluation_als_reverse", "topic_indexed", "topic_weights", "ann_topk_forest",
     "ann_recall_forest",
 }
 
