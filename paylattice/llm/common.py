@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from paylattice.session import ship_package, stage_dir  # noqa: F401
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
+TEXT_ROWS = 1000  # of an Arrow batch of whole texts
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -31,14 +33,18 @@ def _setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
-def cut(df: DataFrame, name: str = "cut", **options) -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", batch_rows: int | None = None, **options) -> DataFrame:
     """Write the rows to the shared folder and go on from the written table; options are those of the writer.
 
     Lost executors cannot undo the work, and the shuffle files of the finished job are freed at once.
+    `batch_rows` bounds the Arrow batches of Python steps in this plan, which both sides hold in memory.
     """
     spark = df.sparkSession
     path = f"{stage_dir(spark)}/{name}/{uuid.uuid4().hex}"
-    with _setting(spark, _CLEANUP, "true"):
+    with ExitStack() as settings:
+        settings.enter_context(_setting(spark, _CLEANUP, "true"))
+        if batch_rows:
+            settings.enter_context(_setting(spark, _BATCH, str(batch_rows)))
         df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

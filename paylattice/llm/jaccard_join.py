@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylattice.llm.common import cut, fresh, ship_package
+from paylattice.llm.common import TEXT_ROWS, cut, fresh, ship_package
 from paylattice.llm.components import connected_components
 
 SHINGLE = 5
@@ -335,7 +335,7 @@ def _classified(docs: DataFrame, text: str, recall: float) -> DataFrame:
         plain.filter("doc is not null").mapInArrow(
             _sets, "doc long, th long, h1 long, h2 long, n long, hashes binary, sketch binary"
         ),
-        "sets",
+        "sets", batch_rows=TEXT_ROWS,
     )
     # classes are numbered as they are written: a document's id does not tell its texts apart
     classes = cut(
@@ -374,7 +374,7 @@ def _classified(docs: DataFrame, text: str, recall: float) -> DataFrame:
         .repartition("part", "low", "high")
         .sortWithinPartitions("part", "low", "high", "rep")
     )
-    links = cut(dealt.mapInArrow(_verify, "rep long, links long, partners long, root long"), "links")
+    links = cut(dealt.mapInArrow(_verify, "rep long, links long, partners long, root long"), "links", batch_rows=TEXT_ROWS)
     counted = links.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("partners").alias("partners"))
     grouped = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     joined = classes.join(counted, "rep", "left").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")

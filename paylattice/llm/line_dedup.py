@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paylattice.llm.common import cut, fresh, ship_package
+from paylattice.llm.common import TEXT_ROWS, cut, fresh, let, ship_package
 
 WINDOW = 2  # lines under the rolling hash
 MEAN = 2  # a line ends a chunk with probability 1 / MEAN, once the chunk is long enough
@@ -122,7 +122,7 @@ def _remove_repeated(
                     rows = []
             yield _batch(rows, places)
 
-    chunks = cut(keyed.mapInArrow(find, "id long, th long, first long, n long, h1 long, h2 long"))
+    chunks = cut(keyed.mapInArrow(find, "id long, th long, first long, n long, h1 long, h2 long"), batch_rows=TEXT_ROWS)
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "first")
     repeated = (
         chunks.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("keeper")).filter("times > 1")
@@ -162,22 +162,19 @@ def _remove_repeated(
     )
     doomed = cut(
         hits.filter("later")
-        .join(cut(unequal), ["h1", "h2"], "left_anti")
+        .join(cut(unequal, batch_rows=TEXT_ROWS), ["h1", "h2"], "left_anti")
         .groupBy("id", "th")
         .agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("spans"))
     )
 
-    @F.arrow_udf("string")
-    def without(body: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([_without(b, s) for b, s in zip(body.to_pylist(), spans.to_pylist())], pa.string())
-
-    th, kept, lost = fresh(docs, "th", "kept", "lost")
+    th, lost = fresh(docs, "th", "lost")
     named = docs.withColumn(th, F.xxhash64(text))
     gone = doomed.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias(lost))
     joined = named.join(gone.hint("merge"), named["doc_id"].eqNullSafe(gone["_id"]) & (named[th] == gone["_th"]), "left")
     n_lost = F.coalesce(_covered(F.col(lost)), F.lit(0))
-    return joined.withColumn(kept, without(F.col(text), F.col(lost))).select(
-        *[F.col(kept).alias(c) if c == text else named[c] for c in docs.columns if c.lower() != out.lower()],
+    kept = F.when(F.col(lost).isNull(), F.col(text)).otherwise(_without(F.col(text), F.col(lost)))
+    return joined.select(
+        *[kept.alias(c) if c == text else named[c] for c in docs.columns if c.lower() != out.lower()],
         F.struct(_line_count(F.col(text)).alias("lines"), n_lost.cast("long").alias("removed_lines")).alias(out),
     )
 
@@ -198,11 +195,24 @@ def _line_count(text: Column) -> Column:
     return F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
 
 
-def _without(body: str | None, spans: list[dict] | None) -> str | None:
-    if not spans:
-        return body
-    lines, out, at = body.split("\n"), [], 0
-    for s in spans:
-        out += lines[at : s["first"]]
-        at = max(at, s["first"] + s["n"])
-    return "\n".join(out + lines[at:])
+def _without(text: Column, spans: Column) -> Column:
+    """The text without the lines of sorted spans, which may overlap."""
+    zero = F.lit(0).cast("long")
+
+    def gap(acc: Column, s: Column) -> Column:
+        between = F.array(F.struct(acc["at"].alias("first"), (s["first"] - acc["at"]).alias("n")))
+        return F.struct(
+            F.greatest(acc["at"], s["first"] + s["n"]).alias("at"),
+            F.when(s["first"] > acc["at"], F.concat(acc["gaps"], between)).otherwise(acc["gaps"]).alias("gaps"),
+        )
+
+    none = F.array().cast("array<struct<first: long, n: long>>")
+    start = F.struct(zero.alias("at"), none.alias("gaps"))
+
+    def kept(lines: Column) -> Column:
+        end = F.struct((F.size(lines).cast("long")).alias("first"), zero.alias("n"))
+        gaps = F.aggregate(F.concat(spans, F.array(end)), start, gap, lambda acc: acc["gaps"])
+        parts = F.transform(gaps, lambda g: F.slice(lines, (g["first"] + 1).cast("int"), g["n"].cast("int")))
+        return F.array_join(F.flatten(parts), "\n")
+
+    return let(F.split(text, "\n"), kept)

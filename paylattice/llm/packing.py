@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paylattice.llm.common import cut, ship_package
+from paylattice.llm.common import TEXT_ROWS, cut, ship_package
 from paylattice.plans.ordering import with_position
 
 STEP = 8
-_CACHE_WORDS = 400_000
+_CACHE_BYTES = 24 << 20  # of words and their ids in a worker's cache, with what Python needs to hold them
+_ENTRY_BYTES = 170
 # A blank between white space: there the pattern of the vocabulary looks across the blank.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _encoders: dict[str, Encoder] = {}
@@ -57,6 +58,7 @@ class Encoder:
         self.at_added = re.compile(f"({'|'.join(longest_first)})") if self.added else None
         self.bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
@@ -72,14 +74,21 @@ class Encoder:
         cache = self.cache
         found = [cache.get(word) for word in rest]
         if None in found:
-            if len(cache) > _CACHE_WORDS:
-                cache.clear()
             for i, ids in enumerate(found):
                 if ids is None:
-                    word = rest[i]
-                    found[i] = cache.get(word) or cache.setdefault(word, self._whole(" " + word))
+                    found[i] = cache.get(rest[i]) or self._keep(rest[i], self._whole(" " + rest[i]))
         return self._whole(first) + b"".join(found)
 
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        size = 4 * len(word) + len(ids) + _ENTRY_BYTES
+        if self.cached + size > _CACHE_BYTES:
+            self.cache.clear()
+            self.cached = 0
+        if size < _CACHE_BYTES:
+            self.cache[word] = ids
+            self.cached += size
+        return ids
+
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
 
@@ -100,8 +109,8 @@ def cut_documents(docs: DataFrame, vocabulary: str, window: int = 2048, end_id:
         bpe = encoder(vocabulary)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = bpe.encode(text or "") + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = bpe.encode(text.as_py() or "") + end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     part = ids[4 * start : 4 * (start + window)]
@@ -114,7 +123,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, window: int = 2048, end_id:
 
 def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
-    pieces = cut(cut_documents(docs, vocabulary, window, end_id))
+    pieces = cut(cut_documents(docs, vocabulary, window, end_id), batch_rows=TEXT_ROWS)
     whole = pieces.filter(F.col("length") == window)
     rest = pieces.filter(F.col("length") < window).withColumn("class", F.ceil(F.col("length") / STEP).cast("int"))
     histogram = {r["class"]: r["n"] for r in rest.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
