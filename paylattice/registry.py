@@ -26,6 +26,7 @@ from paylattice.operators import (
     interactions,
     learning,
     offline,
+    pair_model,
     pairs,
     profiles,
     quality,
@@ -627,21 +628,57 @@ def _(d: Demo):
     return retrieval.exact_topk(users, items, d.cfg.top_k, "dot")
 
 
-def _label_sizes(d: Demo, side: str) -> list:
-    return d.labels(side).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
+def _log_features(d: Demo) -> dict[str, DataFrame]:
+    return {
+        s: d.stage(f"{s}_log_features", lambda s=s: indexing.feature_table(profiles.log_stats(d.indexed(s), s), s))
+        for s in SIDES
+    }
+
+
+def _pair_model(d: Demo) -> tuple[DataFrame, DataFrame]:
+    """Labelled pairs of the training window in parts, and the weights fitted on them."""
+    parted = d.stage("training_parts", lambda: pair_model.in_parts(pair_model.encode_pairs(_pairs(d, "kt"), _log_features(d))))
+    weights = d.stage("pair_model", lambda: pair_model.fit_pair_model(parted, d.cfg.fm_factors, d.cfg.fm_iterations, d.cfg.seed))
+    return parted, weights
 
 
 @query("fm_pair_scores")
 def _(d: Demo):
-    features = {
-        s: d.stage(f"{s}_log_features", lambda s=s: indexing.feature_table(profiles.log_stats(d.indexed(s), s), s))
-        for s in SIDES
-    }
-    width = learning.hash_width(sum(r["n"] for s in SIDES for r in _label_sizes(d, s)))
-    samples = d.stage(
-        "hashed_pairs", lambda: learning.hashed_pairs(_pairs(d, "kt"), features, width)
+    return pair_model.score_pairs(*_pair_model(d))
+
+
+@query("fm_later_metrics")
+def _(d: Demo):
+    """The pair model of the training window on labelled pairs of the test window."""
+    _, weights = _pair_model(d)
+    maps = _maps(d)
+    n = indexing.label_counts(d.labels("kt"))["inn_kt"]
+    drawn = d.stage(
+        "later_pairs",
+        lambda: pairs.with_uniform_negative(pairs.positive_pairs(d.test(), maps["dt"], maps["kt"]), "kt", n, d.cfg.seed).select(
+            "inn_dt_index", "inn_kt_index", "negative"
+        ),
     )
-    return learning.score_pairs(learning.fit_pair_model(samples, d.cfg.fm_factors, d.cfg.fm_iterations, d.cfg.seed), samples)
+    options = F.array(
+        F.struct(F.lit(1).alias("label"), F.col("inn_kt_index")), F.struct(F.lit(0).alias("label"), F.col("negative").alias("inn_kt_index"))
+    )
+    labelled = drawn.select("inn_dt_index", F.explode(options).alias("p")).select("p.label", "inn_dt_index", "p.inn_kt_index")
+    parted = d.stage("later_parts", lambda: pair_model.in_parts(pair_model.encode_pairs(labelled, _log_features(d))))
+    scores = d.stage("later_scores", lambda: pair_model.score_distinct(parted, weights))
+    logit = scores.select("inn_dt_index", "inn_kt_index", (F.col("label") > 0.5).alias("paid"), F.col("logit").alias("s"))
+    both = (
+        drawn.groupBy("inn_dt_index", "inn_kt_index", "negative").agg(F.count(F.lit(1)).alias("n"))
+        .join(logit.filter("paid").select("inn_dt_index", "inn_kt_index", F.col("s").alias("positive_score")), ["inn_dt_index", "inn_kt_index"])
+        .join(
+            logit.filter("not paid").select("inn_dt_index", F.col("inn_kt_index").alias("negative"), F.col("s").alias("negative_score")),
+            ["inn_dt_index", "negative"],
+        )
+    )
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")
+    every = scores.select("label", "logit", times)
+    losses = quality.bce_loss(every).unionByName(quality.ranking_loss(both.select("*", times)))
+    found = quality.pointwise_metrics(every).unionByName(losses.withColumnRenamed("loss", "metric"))
+    return rounded(found, {"value": 9})
 
 
 TOWER_WIDTH = 16

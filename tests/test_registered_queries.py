@@ -14,7 +14,7 @@ SQL = statements()
 NO_SQL = {
     "als_candidates", "ann_recall", "ann_topk_clusters", "fm_pair_scores", "offline_evaluation_als",
     "offline_evaluation_als_reverse", "topic_indexed", "topic_weights", "ann_topk_forest",
-    "ann_recall_forest",
+    "ann_recall_forest", "fm_later_metrics",
 }
 
 
