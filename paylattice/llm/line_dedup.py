@@ -1,17 +1,23 @@
-"""Removal of repeated passages of lines, found by content-defined chunks and by every pair of lines.
-
-A rolling hash over the hashes of neighbouring lines decides where a chunk of lines ends, so boundaries
-depend on the lines around them only and a passage is cut alike wherever it stands. Chunks of two lines or
-more that occur more than once in the corpus are removed except for their first occurrence (smallest
-doc_id, then place in the document; null ids last), after their bytes have been compared.
-
-`remove_repeated_chunks` stops there. `remove_repeated_lines` compares every two neighbouring lines in the
-same way, so a passage of two lines or more goes whole, whatever chunks it was cut into: a line with a word
-goes exactly if it lies in two or more lines that stood together earlier. The first occurrence of a line
-always stays, and an occurrence that overlaps the first one in the same text does not count as another.
-
-Only hashes and places are shuffled for counting; texts move for documents with repeated lines. A hash that
-stands for different bytes is left alone. Single lines and chunks or pairs without a word stay.
+"""Removal of repeated passages of lines, found by content-defined chunks.
+
+Boundaries: a window of two neighbouring lines rolls over the hashes of the lines, and the line with the lower
+hash is a boundary. So every two neighbouring lines hold a boundary, and whether they do depends on these
+two lines only: a passage has the same boundaries inside wherever it stands. Lines without a word rank last and
+are no boundaries as long as a line with a word is beside them.
+
+`remove_repeated_lines` takes the boundaries that occur more than once in the corpus and grows them: with the
+line before or after to a chunk of two lines, over a longer wordless gap to a chunk that ends at the next line
+with a word. Chunks that occur more than once are removed except for their first occurrence (smallest doc_id,
+then place in the document; null ids last), after their bytes have been compared. Neighbouring chunks overlap in
+their boundaries, so a passage of two lines or more goes whole: a line with a word goes exactly if it
+lies in two or more lines that stood together earlier. The first occurrence of a line always stays, and an
+occurrence that overlaps the first one in the same text does not count as another.
+
+`remove_repeated_chunks` cuts longer chunks, which do not overlap, by a rolling hash over the last lines, and
+removes those of two lines or more that are repeated as a whole; it keeps the edges of passages.
+
+Only hashes and places are shuffled for counting; texts move for documents with repeated chunks. A hash that
+stands for different bytes is left alone. Single lines and chunks without a word stay.
 Null texts stay null and empty texts stay empty. Rows equal in doc_id and text count as one document, so
 they keep or lose the same lines; rows that share only the id are told apart by their text. An empty
 table gives no rows.
@@ -53,33 +59,46 @@ def chunk_lines(lines: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _chunks(text: str) -> Iterator[tuple[int, int, str]]:
+# A boundary's text, and the chunks that hold it: first line, number of lines, text.
+Seed = tuple[str, list[tuple[int, int, str]]]
+
+
+def _chunks(text: str) -> Iterator[Seed]:
+    """Chunks that do not overlap; each is its own seed."""
     lines = text.split("\n")
     if len(lines) > 1:
         for first, n in chunk_lines(lines):
             chunk = "\n".join(lines[first : first + n])
             if n > 1 and chunk.strip(_BLANKS):
-                yield first, n, chunk
+                yield chunk, [(first, n, chunk)]
 
 
-def _runs(text: str) -> Iterator[tuple[int, int, str]]:
-    """The chunks of a text, every two neighbouring lines with a word, and wordless gaps with the lines around them."""
-    lines = text.split("\n")
-    seen = set()
-    for first, n, chunk in _chunks(text):
-        seen.add((first, n))
-        yield first, n, chunk
+def boundary_chunks(lines: list[str]) -> dict[int, list[tuple[int, int]]]:
+    """Boundary lines of a text, each with the chunks (first line, number of lines) it grows to."""
+    ranks = [(0, xxhash.xxh3_64_intdigest(line)) if line.strip(_BLANKS) else (1, 0) for line in lines]
+    grown: dict[int, list[tuple[int, int]]] = {}
+
+    def grow(a: int, b: int) -> None:
+        grown.setdefault(a if ranks[a] <= ranks[b] else b, []).append((a, b + 1 - a))
+
     last = None  # the latest line with a word
-    for i, line in enumerate(lines):
-        wordy = bool(line.strip(_BLANKS))
-        pairs = [(i - 1, 2)] if i and (wordy or last == i - 1) else []
+    for i in range(len(lines)):
+        wordy = not ranks[i][0]
+        if i and (wordy or last == i - 1):
+            grow(i - 1, i)
         if wordy:
-            # pairs reach one line into a gap from either side
-            pairs += [(last, i + 1 - last)] if last is not None and i - last > 3 else []
+            # chunks of two lines reach one line into a gap from either side
+            if last is not None and i - last > 3:
+                grow(last, i)
             last = i
-        for first, n in pairs:
-            if (first, n) not in seen:
-                yield first, n, "\n".join(lines[first : first + n])
+    return grown
+
+
+def _grown(text: str) -> Iterator[Seed]:
+    """The boundaries of a text with their chunks."""
+    lines = text.split("\n")
+    for boundary, spans in boundary_chunks(lines).items():
+        yield lines[boundary], [(first, n, "\n".join(lines[first : first + n])) for first, n in spans]
 
 
 def _code(chunk: str) -> tuple[int, int]:
@@ -100,29 +119,34 @@ def remove_repeated_chunks(docs: DataFrame, text: str = "text", out: str = "line
 
 def remove_repeated_lines(docs: DataFrame, text: str = "text", out: str = "line_dedup") -> DataFrame:
     """Like `remove_repeated_chunks`, for every repeated passage of two lines or more."""
-    return _remove_repeated(docs, _runs, text, out)
+    return _remove_repeated(docs, _grown, text, out)
 
 
-def _remove_repeated(
-    docs: DataFrame, parts: Callable[[str], Iterator[tuple[int, int, str]]], text: str, out: str
-) -> DataFrame:
+def _remove_repeated(docs: DataFrame, seeds: Callable[[str], Iterator[Seed]], text: str, out: str) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    places = pa.schema([(c, pa.int64()) for c in ("id", "th", "first", "n", "h1", "h2")])
+    span = pa.struct([(c, pa.int64()) for c in ("first", "n", "h1", "h2")])
+    found = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("seed", pa.int64()), ("grown", pa.list_(span))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, th, body in zip(*batch.columns):
                 doc, th = doc.as_py(), th.as_py()
-                rows += [(doc, th, first, n, *_code(chunk)) for first, n, chunk in parts(body.as_py() or "")]
-                if len(rows) > 20_000:
-                    yield _batch(rows, places)
+                for seed, spans in seeds(body.as_py() or ""):
+                    grown = [dict(zip(("first", "n", "h1", "h2"), (first, n, *_code(chunk)))) for first, n, chunk in spans]
+                    rows.append((doc, th, _code(seed)[0], grown))
+                if len(rows) > 10_000:
+                    yield _batch(rows, found)
                     rows = []
-            yield _batch(rows, places)
+            yield _batch(rows, found)
 
-    chunks = cut(keyed.mapInArrow(find, "id long, th long, first long, n long, h1 long, h2 long"), batch_rows=TEXT_ROWS)
+    spans = "array<struct<first: long, n: long, h1: long, h2: long>>"
+    seeded = cut(keyed.mapInArrow(find, f"id long, th long, seed long, grown {spans}"), batch_rows=TEXT_ROWS)
+    # only boundaries that stand elsewhere too are grown
+    met = seeded.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("seed")
+    chunks = cut(seeded.join(met, "seed").select("id", "th", F.inline("grown")))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "first")
     repeated = (
         chunks.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("keeper")).filter("times > 1")

@@ -378,7 +378,7 @@ def test_line_dedup(docs):
     units = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in before}, key=lambda u: u[:2])
     first, ties = {}, set()
     for none, doc, text in units:
-        for at, _, chunk in line_dedup._chunks(text):
+        for chunk, [(at, _, _)] in line_dedup._chunks(text):
             if chunk not in first:
                 first[chunk] = (none, doc, text, at)
             elif first[chunk][:2] == (none, doc) and first[chunk][2] != text:
@@ -387,7 +387,7 @@ def test_line_dedup(docs):
     expected = collections.Counter()
     for r in before:
         unit = (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
-        spans = [{"first": a, "n": n} for a, n, c in line_dedup._chunks(r["text"] or "") if first[c] != (*unit, a)]
+        spans = [{"first": a, "n": n} for c, [(a, n, _)] in line_dedup._chunks(r["text"] or "") if first[c] != (*unit, a)]
         expected[r["doc_id"], without_lines(r["text"], spans), sum(s["n"] for s in spans)] += 1
     assert collections.Counter((r["doc_id"], r["text"], r["removed_lines"]) for r in got) == expected
 
@@ -400,6 +400,29 @@ def test_passages_are_found_at_other_places():
     assert len(ours & {(f - 3, n) for f, n in b}) >= 4
 
 
+def test_boundaries_stay_inside_a_moved_passage():
+    rng = random.Random(5)
+    passage = [f"line {rng.randrange(9)} of the passage" if rng.random() < 0.8 else "" for _ in range(30)]
+    at = {shift: line_dedup.boundary_chunks([f"b {i}" for i in range(shift)] + passage + ["y"]) for shift in (0, 1, 7)}
+    inside = {
+        shift: {(b - shift, f - shift, n) for b, chunks in grown.items() for f, n in chunks if f >= shift and f + n <= shift + 30}
+        for shift, grown in at.items()
+    }
+    assert inside[0] == inside[1] == inside[7] and all(f <= b < f + n for b, f, n in inside[0])
+    held = {i for _, f, n in inside[0] for i in range(f, f + n)}
+    assert {i for i, line in enumerate(passage) if line} <= held
+    assert sum(len(line_dedup.boundary_chunks([str(i) for i in range(k)])) for k in range(2)) == 0  # no single lines
+
+
+def test_nothing_goes_without_boundaries(spark, monkeypatch):
+    texts = ["a\nb\nc\nd", "x\na\nb\nc\ny", "c\nd\nz"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda: {r["doc_id"]: r["text"] for r in rows(line_dedup.remove_repeated_lines(frame))}
+    assert found() == {0: texts[0], 1: "x\ny", 2: "z"}
+    monkeypatch.setattr(line_dedup, "_grown", lambda text: iter(()))
+    assert found() == dict(enumerate(texts))
+
+
 def test_shared_runs_of_lines_go_whole(spark):
     rng = random.Random(11)
     line = lambda: rng.choice(["a b", "c", "d e f", "g", "h i", "", "", " "])
