@@ -37,6 +37,7 @@ from paylattice.llm.common import TEXT_ROWS, cut, fresh, let, ship_package
 WINDOW = 2  # lines under the rolling hash
 MEAN = 2  # a line ends a chunk with probability 1 / MEAN, once the chunk is long enough
 SHORTEST, LONGEST = 2, 64  # lines of a chunk
+HOT_SHARE = 1000  # a boundary is frequent if it makes up more than 1 / HOT_SHARE of the repeated ones
 _BLANKS = " \t\n\x0b\x0c\r"
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
@@ -144,9 +145,12 @@ def _remove_repeated(docs: DataFrame, seeds: Callable[[str], Iterator[Seed]], te
 
     spans = "array<struct<first: long, n: long, h1: long, h2: long>>"
     seeded = cut(keyed.mapInArrow(find, f"id long, th long, seed long, grown {spans}"), batch_rows=TEXT_ROWS)
-    # only boundaries that stand elsewhere too are grown
-    met = seeded.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("seed")
-    chunks = cut(seeded.join(met, "seed").select("id", "th", F.inline("grown")))
+    # only boundaries that stand elsewhere too are grown; the frequent ones are known without a shuffle of their places
+    met = cut(seeded.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    total = met.agg(F.sum("times")).first()[0] or 0
+    hot = F.broadcast(met.filter(F.col("times") * HOT_SHARE > total).select("seed"))  # fewer than HOT_SHARE rows
+    rare = seeded.join(hot, "seed", "left_anti").join(met.select("seed"), "seed")
+    chunks = cut(seeded.join(hot, "seed", "left_semi").unionByName(rare).select("id", "th", F.inline("grown")))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "first")
     repeated = (
         chunks.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("keeper")).filter("times > 1")
