@@ -6,9 +6,9 @@ this capacity to the quotas of the sources at least cost. The part of a pattern
 than the rest is made of whole documents in seeded order: a prefix of the order, then further documents
 that still fit the gap, in a few rounds.
 
-Patterns and sources are the rows of a mixing recipe; more than `MAX_PATTERNS` raise an error, so what
-reaches the driver is bounded. Documents never leave the executors, and a pattern that holds most of them is
-sorted and summed across all tasks.
+Patterns, sources and targets are tables of any size. A source that no document shares with another one needs
+no routing, only arithmetic; sources that share documents, directly or over others, form a group, and each group's
+flow is solved in a task of its own. A pattern that holds most of the documents is sorted and summed across all tasks.
 
 Null text has size 0. A null source is a source of its own, ordered last. Rows equal in id, sources and
 text are taken together. Documents without words and an empty table are fine: they take nothing.
@@ -18,14 +18,16 @@ from __future__ import annotations
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paylattice.functions.columns import draw
-from paylattice.llm.common import cut, fresh, words
-from paylattice.plans.ordering import with_prefix
+from paylattice.llm.common import cut, fresh, ship_package, words
+from paylattice.llm.components import connected_components
+from paylattice.plans.ordering import with_position, with_prefix
 
-MAX_PATTERNS = 50_000
+BROADCAST_PATTERNS = 50_000  # recipes of more rows are joined by key
 # Cost of using a pattern's words for the first, second and third time. Fixed values.
 COPY_COSTS = (0, 1, 4)
 # Passes that fill the gap which the seeded prefix leaves.
@@ -36,19 +38,29 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def target_sizes(sizes: dict, weights: dict, total: float, most: float = 3.0) -> dict:
-    """Shares of `total` by weight, none above `most` times its size; the excess goes to the others by weight."""
-    open_, targets, rest = dict(weights), {}, total
-    while open_:
-        each = rest / sum(open_.values())
-        full = [s for s, w in open_.items() if w * each > most * sizes[s]]
-        if not full:
-            return targets | {s: w * each for s, w in open_.items()}
-        for s in full:
-            targets[s] = most * sizes[s]
-            rest -= targets[s]
-            del open_[s]
-    return targets
+def source_targets(sources: DataFrame, weights: tuple[float, ...], total: float, most: float = 3) -> DataFrame:
+    """Add number (place in order of code points, null last) and target to rows of source and size.
+
+    The sources have the given weights in turn and get their shares of `total` by weight, none above `most`
+    times its size; the excess goes to the others by weight. Sources reach their cap in order of size over
+    weight, so two running sums give the level at which the rest is shared.
+    """
+    numbered = with_position(sources, [F.col("source").isNull(), "source"], "number")
+    turn = (F.col("number") % len(weights) + 1).cast("int")
+    weighed = numbered.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn))
+    ratio = F.when(F.col("weight") > 0, F.col("size") / F.col("weight")).otherwise(F.lit(float("inf")))
+    ranked = cut(
+        with_prefix(
+            weighed.withColumn("ratio", ratio), ["ratio", "number"],
+            {"full": F.col("size"), "used": F.col("weight")},
+        )
+    )
+    all_weights = float(ranked.agg(F.sum("weight")).first()[0] or 0)
+    each = F.try_divide(F.lit(float(total)) - most * F.col("full"), F.lit(all_weights) - F.col("used"))
+    level = ranked.filter(each <= most * F.col("ratio")).agg(F.max(each)).first()[0]
+    share = F.col("weight") * F.lit(float("inf") if level is None else level)
+    target = F.when(F.col("weight") > 0, F.least(share, (most * F.col("size")).cast("double"))).otherwise(0.0)
+    return ranked.select("source", "size", "number", target.alias("target"))
 
 
 def route(patterns: list[tuple[tuple, int]], quotas: dict, costs: tuple[int, ...] = COPY_COSTS) -> list[dict]:
@@ -136,31 +148,12 @@ def mix(
             unit, pattern, "size", draw(seed, F.to_json(unit)).alias("u")
         )
     )
-    found = units.groupBy(pattern).agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns: merge sources first")
-    patterns = sorted(
-        ((tuple(r[pattern]), int(r["size"])) for r in found), key=lambda x: [(s is None, s or "") for s in x[0]]
+    plan = cut(_recipe(units, pattern, weights, total, most))
+    small = plan.count() <= BROADCAST_PATTERNS
+    offered = units.join(F.broadcast(plan) if small else plan, pattern, "left").fillna(
+        {"base": 0, "extra": 0, "source_size": 0, "target": 0.0}
     )
-    names = sorted({s for p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    sizes = {s: sum(n for p, n in patterns if s in p) for s in names}
-    if total is None:
-        total = sum(n for _, n in patterns)
-    targets = target_sizes(sizes, weight, total, most) if names else {}
-    flows = route(patterns, {s: round(t) for s, t in targets.items()}, COPY_COSTS[:most])
-
-    recipe = []
-    for (p, n), flow in zip(patterns, flows):
-        used = sum(flow.values())
-        first = p[0] if p else None
-        recipe.append((
-            list(p), used // n if n else 0, used % n if n else 0, sizes.get(first, 0), float(targets.get(first, 0.0)),
-        ))
-    plan = docs.sparkSession.createDataFrame(
-        recipe, f"{pattern} array<string>, base long, extra long, source_size long, target double"
-    )
-    chosen = _select(units.join(F.broadcast(plan), pattern), pattern, unit)
+    chosen = _select(offered, pattern, unit, small)
     placed = chosen.select(
         F.col(unit).alias("_u"), F.col(pattern).alias("_p"), F.struct("copies", "source_size", "target").alias(share)
     )
@@ -173,8 +166,57 @@ def mix(
     return joined.select(*[keyed[c] for c in docs.columns if c.lower() != out.lower()], result.alias(out))
 
 
-def _select(units: DataFrame, pattern: str, unit: str) -> DataFrame:
+def _recipe(units: DataFrame, pattern: str, weights: tuple[float, ...], total: float | None, most: int) -> DataFrame:
+    """How often the words of each pattern are used (base), of how many words once more (extra), and the size
+    and target of its first source."""
+    ship_package(units.sparkSession)
+    costs = COPY_COSTS[:most]
+    patterns = cut(units.groupBy(pattern).agg(F.sum("size").alias("words")))
+    if total is None:
+        total = patterns.agg(F.sum("words")).first()[0] or 0
+    members = patterns.select(pattern, "words", F.explode(pattern).alias("member"))
+    sizes = members.groupBy(F.col("member").alias("source")).agg(F.sum("words").alias("size"))
+    sources = cut(source_targets(sizes, weights, total, most))
+    quotas = cut(
+        members.join(sources, F.col("member").eqNullSafe(F.col("source")))
+        .withColumn("quota", F.bround("target").cast("long"))
+        .groupBy(pattern, "words")
+        .agg(F.sort_array(F.collect_list(F.struct("number", "quota", "size", "target"))).alias("of"))
+    )
+    shared = quotas.filter(F.size("of") > 1)
+    edges = shared.select(F.col("of")[0]["number"].alias("a"), F.explode("of.number").alias("b"))
+    groups = connected_components(edges.filter("a <> b"))
+    grouped = quotas.join(groups, F.col("of")[0]["number"] == F.col("node"), "left")
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        listed = sorted(
+            ((tuple(map(int, n)), int(w), q, p) for n, w, q, p in zip(rows["numbers"], rows["words"], rows["quotas"], rows["p"])),
+            key=lambda x: x[0],
+        )
+        wanted = {n: int(q) for numbers, _, each, _ in listed for n, q in zip(numbers, each)}
+        flows = route([(numbers, w) for numbers, w, _, _ in listed], dict(sorted(wanted.items())), costs)
+        return pd.DataFrame({"p": [p for *_, p in listed], "used": [sum(f.values()) for f in flows]})
+
+    routed = (
+        grouped.filter("component is not null")
+        .select("component", F.col(pattern).alias("p"), "words", F.col("of.number").alias("numbers"), F.col("of.quota").alias("quotas"))
+        .groupBy("component").applyInPandas(solve, "p array<string>, used long")
+    )
+    alone = grouped.filter("component is null").select(
+        F.col(pattern).alias("p"), F.least(F.col("of")[0]["quota"], F.col("words") * len(costs)).alias("used")
+    )
+    first, n = F.col("of")[0], F.col("words")
+    return quotas.join(routed.unionByName(alone), F.col(pattern) == F.col("p")).select(
+        pattern,
+        F.when(n > 0, F.expr("used div words")).otherwise(0).cast("long").alias("base"),
+        F.when(n > 0, F.col("used") % n).otherwise(0).cast("long").alias("extra"),
+        first["size"].alias("source_size"), first["target"].alias("target"),
+    )
+
+
+def _select(units: DataFrame, pattern: str, unit: str, small: bool) -> DataFrame:
     """Add `copies`: the base of the pattern, and one more for units that together have `extra` words."""
+    per_pattern = F.broadcast if small else (lambda df: df)
     left = units.withColumn("more", F.lit(False))
     for _ in range(_ROUNDS):
         # `extra` is what is still missing; units larger than that cannot help
@@ -186,12 +228,12 @@ def _select(units: DataFrame, pattern: str, unit: str) -> DataFrame:
             )
         )
         starts = summed.groupBy(pattern).agg(F.min("before").alias("start"))
-        picked = summed.join(F.broadcast(starts), pattern).withColumn(
+        picked = summed.join(per_pattern(starts), pattern).withColumn(
             "pick", F.col("able") & (F.col("before") - F.col("start") + F.col("size") <= F.col("extra"))
         )
         gained = picked.filter("pick").groupBy(pattern).agg(F.sum("size").alias("gained"))
         left = cut(
-            picked.join(F.broadcast(gained), pattern, "left")
+            picked.join(per_pattern(gained), pattern, "left")
             .withColumn("more", F.col("more") | F.col("pick"))
             .withColumn("extra", F.col("extra") - F.coalesce("gained", F.lit(0)))
             .drop("able", "before", "start", "pick", "gained")

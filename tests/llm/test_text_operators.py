@@ -285,9 +285,86 @@ def test_flow_prefers_first_copies():
     assert flows == [{"a": 25}, {"b": 5}]
 
 
-def test_targets_are_capped_and_reshared():
-    targets = mixing.target_sizes({"a": 10, "b": 100, "c": 100}, {"a": 5, "b": 2, "c": 1}, 210)
-    assert targets == pytest.approx({"a": 30, "b": 120, "c": 60})
+def shared_out(sizes, weights, total, most=3):
+    open_, targets, rest = dict(weights), {}, total
+    while open_:
+        each = rest / sum(open_.values())
+        full = [s for s, w in open_.items() if w * each > most * sizes[s]]
+        if not full:
+            return targets | {s: w * each for s, w in open_.items()}
+        for s in full:
+            targets[s] = most * sizes[s]
+            rest -= targets[s]
+            del open_[s]
+    return targets
+
+
+def test_targets_are_capped_and_reshared(spark):
+    rng = random.Random(3)
+    cases = [({"a": 10, "b": 100, "c": 100}, 210), ({"a": 1, "b": 0}, 50)]
+    cases += [({f"s{i:02}": rng.choice([0, 1, 7, 90, 4000]) for i in range(rng.randrange(1, 30))}, rng.choice([1, 900, 40_000])) for _ in range(3)]
+    for sizes, total in cases:
+        frame = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        got = {r["source"]: r["target"] for r in rows(mixing.source_targets(frame, (5, 2, 1), total))}
+        weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))}
+        assert got == pytest.approx(shared_out(sizes, weights, total))
+
+
+def least_cost(patterns, quotas, costs=(0, 1, 4)):
+    """Most words that reach the quotas, and the least cost for that; every split of every pattern is tried."""
+    splits = [
+        [x for x in itertools.product(range(3 * n + 1), repeat=len(m)) if sum(x) <= 3 * n] for m, n in patterns
+    ]
+    best = None
+    for choice in itertools.product(*splits):
+        into = collections.Counter()
+        for (m, _), x in zip(patterns, choice):
+            into.update(dict(zip(m, x)))
+        if all(into[s] <= q for s, q in quotas.items()):
+            cost = sum(c * min(max(sum(x) - i * n, 0), n) for (_, n), x in zip(patterns, choice) for i, c in enumerate(costs))
+            best = min(best or (1, 0), (-sum(into.values()), cost))
+    return best
+
+
+def test_flow_costs_no_more_than_the_best_of_all_splits():
+    rng = random.Random(8)
+    for _ in range(25):
+        patterns = [(m, rng.randrange(1, 3)) for m in rng.sample([("a",), ("b",), ("c",), ("a", "b"), ("b", "c")], 3)]
+        quotas = {s: rng.randrange(6) for s in "abc"}
+        flows = mixing.route(patterns, quotas)
+        used = [sum(f.values()) for f in flows]
+        cost = sum(c * min(max(u - i * n, 0), n) for (_, n), u in zip(patterns, used) for i, c in enumerate((0, 1, 4)))
+        assert (-sum(used), cost) == least_cost(patterns, quotas), (patterns, quotas)
+
+
+def test_mix_of_many_sources_and_of_shared_documents(spark, monkeypatch):
+    many = spark.range(60_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("s"), "id").alias("source"), F.lit("a b c").alias("text")
+    )
+    mix = mixing.mix(many).select("mix.*")
+    # targets of 5.625, 2.25 and 1.125 words: only the first can be met by whole documents of three
+    assert mix.agg(F.count("*"), F.sum("size"), F.max("taken"), F.sum("taken")).first() == (60_000, 180_000, 6, 120_000)
+    # two groups of overlapping sources, one source alone, one document without sources
+    lists = [["a"], ["a", "b"], ["b"], ["x", "y"], ["y", "z"], [None], []] * 12
+    frame = spark.createDataFrame(
+        [(i, s, " ".join(["w"] * (1 + i % 5))) for i, s in enumerate(lists)], "doc_id long, of array<string>, text string"
+    )
+    got = {r["doc_id"]: r for r in rows(mixing.mix(frame, sources=F.col("of")).select("doc_id", "mix.*"))}
+    monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", 0)
+    assert got == {r["doc_id"]: r for r in rows(mixing.mix(frame, sources=F.col("of")).select("doc_id", "mix.*"))}
+    patterns, sizes = collections.Counter(), collections.Counter()
+    for i, s in enumerate(lists):
+        patterns[tuple(s)] += 1 + i % 5
+        sizes.update({x: 1 + i % 5 for x in s})
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    targets = shared_out(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, sum(patterns.values()))
+    order = sorted(patterns, key=lambda p: [(s is None, s or "") for s in p])
+    flows = mixing.route([(p, patterns[p]) for p in order], {s: round(targets[s]) for s in names})
+    for p, flow in zip(order, flows):
+        taken = sum(got[i]["taken"] for i, s in enumerate(lists) if tuple(s) == p)
+        assert sum(flow.values()) - 5 <= taken <= sum(flow.values())
+        first = [got[i] for i, s in enumerate(lists) if tuple(s) == p][0]
+        assert first["target"] == pytest.approx(targets[p[0]] if p else 0)
 
 
 # --- packing ----------------------------------------------------------------------------
