@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 from conftest import ROOT, SMALL
 from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from paylattice.config import index_features, numeric_features
-from paylattice.operators import learning, offline, topics, towers
+from paylattice.operators import learning, offline, recommend, topics, towers
 from paylattice.registry import QUERIES
 from paylattice.session import cut_lineage, shared_dir
 from paylattice.sources import tables
@@ -291,3 +292,26 @@ def test_demo_stage_is_written_once(spark):
     assert demo.stage("twice", build).count() == demo.stage("twice", build).count() == 2
     assert calls == [1]
     assert demo.cfg.top_k == 100
+
+
+def test_ids_that_share_a_list_are_dealt(spark):
+    cold = spark.range(60_000).select(F.concat(F.lit("X"), "id").alias("inn_dt")).coalesce(1)
+    none = spark.createDataFrame([], "inn_dt string, inn_kt string, rank int")
+    shared = [(f"S{i}", i) for i in range(1, 101)]
+    got = recommend.with_cold(none, cold, shared)
+    assert got.count() == 60_000 * 100 and got.distinct().count() == 60_000 * 100
+    largest = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < 1_500_000
+
+
+def test_topics_are_inferred_in_many_tasks(spark):
+    vectors = spark.range(30_000).select(F.col("id").cast("string").alias("inn_dt"), F.col("id").alias("features")).coalesce(1)
+
+    class Model:  # gives every vector the same topics, whatever it holds
+        def transform(self, rows):
+            return rows.withColumn("topicDistribution", array_to_vector(F.array(F.lit(0.25), F.lit(0.75))))
+
+    got = topics.topic_weights(Model(), vectors, "dt", 2)
+    assert got.rdd.getNumPartitions() == 15
+    assert {tuple(r) for r in got.select("dt_topic_weight_0", "dt_topic_weight_1").distinct().collect()} == {(0.25, 0.75)}
+    assert got.select("inn_dt").distinct().count() == 30_000
