@@ -3,11 +3,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from paylattice.operators.retrieval import ClusterIndex, ann_topk, exact_topk, recall_report
-from paylattice.plans import skew
+from paylattice.plans import blocks, skew
 from paylattice.plans.blocks import _top
 from paylattice.plans.ordering import with_position, with_prefix
 from paylattice.plans.skew import join_on_key
@@ -166,3 +167,26 @@ def test_ann_lists_are_whole_beside_small_clusters(spark):
 def test_top_breaks_ties_by_column():
     scores = np.array([[1.0, 2.0, 2.0, 2.0, 0.0], [0.0, 0.0, 0.0, 0.0, 5.0]])
     assert _top(scores, 2).tolist() == [[1, 2], [0, 4]]
+
+
+def test_items_stream_past_their_users(spark, monkeypatch):
+    """Stripes do not multiply with the user chunks, so neither do users and lists; results stay exact."""
+    monkeypatch.setattr(blocks, "_TASKS", 8)
+    users, items = [(i, [float(i % 7), 1.0]) for i in range(120)], [(i, [float(i % 11), float(i % 5)]) for i in range(300)]
+    u, i = (f.withColumnRenamed("embedding", "vec") for f in frames(spark, users, items))
+    partial = blocks.best_overall(u, i, 4, "dot", user_block=10, item_block=10).collect()
+    assert len(partial) == 120 * 4  # once 120 * 30 * 4: a list for every chunk of items
+    found = blocks.merge_top(spark.createDataFrame(partial, "user long, item long, score double"), 4)
+    assert {(r["user"], r["rank"], r["item"]) for r in found.collect()} == brute(users, items, 4, "dot")
+
+
+@pytest.mark.parametrize("k", [3, 40])
+def test_scored_in_small_batches(k):
+    rng = np.random.default_rng(9)
+    users, items = rng.integers(-2, 3, (90, 4)).astype(float), rng.integers(-2, 3, (150, 4)).astype(float)
+    table = lambda v, ids: pa.table({"id": pa.array(ids), "vec": pa.array(v.tolist())})
+    best, ids = blocks._Best(table(users, np.arange(90)), k, "dot"), rng.permutation(150)
+    for at in range(0, 150, 11):
+        best.meet(table(items[ids[at:at + 11]], ids[at:at + 11]))
+    wanted = np.lexsort((np.broadcast_to(np.arange(150), (90, 150)), -(users @ items.T)), axis=1)[:, :k]
+    assert np.array_equal(best.items, wanted) and sum(b.num_rows for b in best.lists()) == 90 * k
