@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paylattice.operators.retrieval import ClusterIndex, ann_topk, exact_topk, recall_report
 from paylattice.plans import blocks, skew
-from paylattice.plans.blocks import _top
+from paylattice.plans.blocks import _top, best_in_buckets, best_probed, merge_top
 from paylattice.plans.ordering import with_position, with_prefix
 from paylattice.plans.skew import join_on_key
 
@@ -164,6 +164,21 @@ def test_ann_lists_are_whole_beside_small_clusters(spark):
     assert report["full_lists"] == 1.0 and report["recall"] >= 0.9
 
 
+def test_lists_of_many_probes_come_back_once_per_stripe(spark):
+    rng = np.random.default_rng(9)
+    sizes = np.array([7, 0, 30, 1, 12, 90])
+    users = [(i, rng.integers(-2, 3, 5).tolist(), [2, 4, 1] if i % 2 else [5, 3, 0, 1, 2, 4]) for i in range(30)]
+    items = [(i, rng.integers(-2, 3, 5).tolist(), int(b)) for i, b in enumerate(np.repeat(np.arange(6), sizes))]
+    u = spark.createDataFrame(users, "user long, vec array<double>, probes array<int>")
+    i = spark.createDataFrame(items, "item long, vec array<double>, bucket int")
+    asked = u.select("user", "vec", F.explode("probes").cast("string").alias("bucket"))
+    whole = merge_top(best_in_buckets(asked, i.withColumn("bucket", F.col("bucket").cast("string")), 8, "cosine"), 8)
+    assert best_probed(u, i, sizes, 8).count() == 30 * 8  # once per probed bucket before
+    for blocks in ({}, {"user_block": 7, "item_block": 20}):
+        found = merge_top(best_probed(u, i, sizes, 8, **blocks), 8)
+        assert as_sets(found.select("user", "rank", "item")) == as_sets(whole.select("user", "rank", "item"))
+
+
 def test_top_breaks_ties_by_column():
     scores = np.array([[1.0, 2.0, 2.0, 2.0, 0.0], [0.0, 0.0, 0.0, 0.0, 5.0]])
     assert _top(scores, 2).tolist() == [[1, 2], [0, 4]]
