@@ -167,11 +167,11 @@ def test_ann_lists_are_whole_beside_small_clusters(spark):
 def test_lists_of_many_probes_come_back_once_per_stripe(spark):
     rng = np.random.default_rng(9)
     sizes = np.array([7, 0, 30, 1, 12, 90])
-    users = [(i, rng.integers(-2, 3, 5).tolist(), [2, 4, 1] if i % 2 else [5, 3, 0, 1, 2, 4]) for i in range(30)]
-    items = [(i, rng.integers(-2, 3, 5).tolist(), int(b)) for i, b in enumerate(np.repeat(np.arange(6), sizes))]
+    users = [(i, rng.integers(-2, 3, 5).astype(float).tolist(), [2, 4, 1] if i % 2 else [5, 3, 0, 1, 2, 4]) for i in range(30)]
+    items = [(i, rng.integers(-2, 3, 5).astype(float).tolist(), int(b)) for i, b in enumerate(np.repeat(np.arange(6), sizes))]
     u = spark.createDataFrame(users, "user long, vec array<double>, probes array<int>")
     i = spark.createDataFrame(items, "item long, vec array<double>, bucket int")
-    asked = u.select("user", "vec", F.explode("probes").cast("string").alias("bucket"))
+    asked = u.select("user", "vec", F.explode(F.col("probes").cast("array<string>")).alias("bucket"))
     whole = merge_top(best_in_buckets(asked, i.withColumn("bucket", F.col("bucket").cast("string")), 8, "cosine"), 8)
     assert best_probed(u, i, sizes, 8).count() == 30 * 8  # once per probed bucket before
     for blocks in ({}, {"user_block": 7, "item_block": 20}):
