@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from paylattice.config import Settings, indexed_columns
 from paylattice.operators import indexing, interactions, profiles, quality, ranking, recommend, words
+from paylattice.plans.partitions import dealt
 
 
 def settings(**changes) -> Settings:
@@ -248,3 +249,16 @@ def test_entropy(spark):
     got = {r["inn_dt"]: r for r in profiles.entity_entropy(df, "dt").collect()}
     assert got["a"]["dt_entropy"] == pytest.approx(math.log(2)) and got["a"]["dt_normalized_entropy"] == pytest.approx(1)
     assert got["b"]["dt_entropy"] == 0.0
+
+
+def test_word_totals_per_payment(spark):
+    rows = spark.createDataFrame(
+        [("k", 1, "w", 2), ("k", 1, "w", 4), ("k", 2, "w", 8), ("k", None, "w", 16), ("k", None, None, 32), ("k", 3, None, 64), ("l", 1, None, 2)],
+        "inn_kt string, id long, word string, c_sum int",
+    ).withColumns({"c_sum": F.col("c_sum").cast("decimal(14,2)"), "sum_koef": F.lit("0.5").cast("decimal(3,2)")})
+    totals = words.word_totals(rows)
+    assert [tuple(map(float, r[2:])) for r in totals.collect()] == [(15.0, 2.0, 3.0, 63.0)]
+    assert {(r["inn_kt"], r["all_nunique_cnt"], float(r["all_sum"])) for r in words.company_totals(rows).collect()} == {("k", 3, 63.0), ("l", 1, 1.0)}
+    parts = dealt(spark.range(100).select((F.col("id") % 50).alias("key")), ["key"], rows=5)
+    held = parts.select("key", F.spark_partition_id().alias("part")).distinct().groupBy("key").count()
+    assert parts.rdd.getNumPartitions() == 20 and held.filter("count > 1").count() == 0  # as many parts as the rows need
