@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paylattice.config import BANK_PARTS, SIDES, Settings, bank_columns, entity
 from paylattice.plans.skew import join_on_key
+from paylattice.session import cut_lineage
 
 
 def base_clients(clients: DataFrame, cfg: Settings, live_only: bool = True) -> DataFrame:
@@ -62,12 +63,14 @@ def interaction_keys() -> list[str]:
 def build_interactions(
     payments: DataFrame, clients: DataFrame, cfg: Settings, window: tuple[str, str]
 ) -> DataFrame:
-    """Amounts summed per pair, day, codes and bank parts; both parties must be base clients."""
+    """Amounts summed per pair, day, codes and bank parts; both parties must be base clients.
+
+    The payments of the window are written once: both joins count their frequent keys in them.
+    """
     base = base_clients(clients, cfg)
-    paid = in_window(payments, window, cfg.purpose)
-    joined = with_bank_parts(
-        paid.select("inn_dt", "inn_kt", "short_dt", "c_sum", "c_bic_kt", "c_num_kt", "c_bic_dt", "c_num_dt")
-    )
+    wanted = in_window(payments, window, cfg.purpose)
+    paid = cut_lineage(wanted.select("inn_dt", "inn_kt", "short_dt", "c_sum", "c_bic_kt", "c_num_kt", "c_bic_dt", "c_num_dt"))
+    joined = with_bank_parts(paid)
     for side in ("kt", "dt"):
         party = base.select(
             F.col("inn").alias(entity(side)),

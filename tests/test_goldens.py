@@ -251,6 +251,32 @@ def test_entropy(spark):
     assert got["b"]["dt_entropy"] == 0.0
 
 
+def test_payments_of_a_window_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(day: str) -> str:
+        read.add(1)
+        return day
+
+    paid = spark.createDataFrame(
+        [("a", "b", "2024-01-05", 1), ("a", "b", "2024-01-05", 2), ("c", "b", "2024-01-06", 4), ("a", "x", "2024-01-06", 8)],
+        "inn_dt string, inn_kt string, short_dt string, c_sum int",
+    ).withColumns({"short_dt": F.udf(seen, "string")("short_dt"), "c_sum": F.col("c_sum").cast("decimal(14,2)")})
+    paid = paid.withColumns({c: F.lit("1" * 20) for c in ("c_bic_kt", "c_num_kt", "c_bic_dt", "c_num_dt")})
+    cfg = settings()
+    day = paid.withColumn("predicted_value_last", F.lit(cfg.purpose))
+    clients = spark.createDataFrame([(i,) for i in "abc"], "inn string").withColumns(
+        {"report_dt": F.lit(cfg.report_dt), cfg.segment_column: F.lit(cfg.segments[0]), "type": F.lit(cfg.kinds[0]),
+         "active_flg": F.lit(0), "okved_cd": F.lit("1.2"), "okato_cd": F.lit("o")})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with long client lists: frequent keys are counted
+    try:
+        rows = interactions.build_interactions(day, clients, cfg, ("2024-01-01", "2024-01-31")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r["inn_dt"], float(r["c_sum_fin"])) for r in rows) == [("a", 3.0), ("c", 4.0)]
+    assert read.value <= 2 * 4  # the filter and the column; three times as often before
+
+
 def test_word_totals_per_payment(spark):
     rows = spark.createDataFrame(
         [("k", 1, "w", 2), ("k", 1, "w", 4), ("k", 2, "w", 8), ("k", None, "w", 16), ("k", None, None, 32), ("k", 3, None, 64), ("l", 1, None, 2)],
