@@ -205,3 +205,47 @@ def test_scored_in_small_batches(k):
         best.meet(table(items[ids[at:at + 11]], ids[at:at + 11]))
     wanted = np.lexsort((np.broadcast_to(np.arange(150), (90, 150)), -(users @ items.T)), axis=1)[:, :k]
     assert np.array_equal(best.items, wanted) and sum(b.num_rows for b in best.lists()) == 90 * k
+
+
+def test_exact_lists_leave_their_tasks_ranked(spark):
+    """Few items made one task for up to 32,768 users before, and lists went through a second shuffle to be ranked."""
+    rng = np.random.default_rng(21)
+    users = [(i, rng.integers(-3, 4, 3).astype(float).tolist()) for i in range(5000)]
+    items = [(i, rng.integers(-3, 4, 3).astype(float).tolist()) for i in range(60)]
+    found = exact_topk(*frames(spark, users, items), 4, "dot")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    tasks = found.select("user", F.spark_partition_id().alias("task")).groupBy("task").agg(F.count_distinct("user").alias("n")).collect()
+    assert len(tasks) > 1 and max(r["n"] for r in tasks) < 2500
+    assert {(r["user"], r["rank"], r["item"]) for r in found.filter("user < 40").collect()} == brute(users[:40], items, 4, "dot")
+
+
+@pytest.mark.parametrize("size", [1.0, 1e3, 1e30])
+@pytest.mark.parametrize("k", [1, 20])
+def test_single_precision_decides_nothing_close(size, k):
+    rng = np.random.default_rng(22)
+    users, items = rng.normal(size=(300, 6)), np.tile(rng.normal(size=(1, 6)), (5000, 1))
+    users[7] = 0  # all items equal
+    items += rng.normal(size=items.shape) * 1e-7  # closer than single precision tells
+    items[4000:] *= rng.uniform(0.1, 1.5, (1000, 1))
+    users *= size
+    table = lambda v, ids: pa.table({"id": pa.array(ids), "vec": pa.array(v.tolist())})
+    best, ids = blocks._Best(table(users, np.arange(300)), k, "dot"), rng.permutation(5000)
+    for at in range(0, 5000, 1700):
+        best.meet(table(items[ids[at:at + 1700]], ids[at:at + 1700]))
+    scores = np.round(np.einsum("ij,kj->ik", users, items), 9)
+    wanted = np.lexsort((np.broadcast_to(np.arange(5000), scores.shape), -scores), axis=1)[:, :k]
+    np.testing.assert_allclose(best.scores, np.take_along_axis(scores, wanted, axis=1), rtol=1e-13, atol=2e-9)
+    assert (best.items == wanted).mean() > 0.99  # last bits may differ by the order of a sum
+    assert np.array_equal(best.items[7], np.arange(k))
+
+
+def test_repeated_users_share_their_ranks(spark):
+    rng = np.random.default_rng(23)
+    users = [(i % 17, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(40)]
+    items = [(i % 25, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(30)]
+    u, i = frames(spark, users, items)
+    named = u.withColumnRenamed("embedding", "vec"), i.withColumnRenamed("embedding", "vec")
+    merged = merge_top(blocks.best_overall(*named, 6, "dot"), 6)
+    rows = lambda df: sorted(map(tuple, df.select("user", "rank", "item", "score").collect()))
+    assert rows(exact_topk(u, i, 6, "dot")) == rows(merged)
+    assert {r["n"] for r in merged.groupBy("user").agg(F.count("*").alias("n")).collect()} == {6}
