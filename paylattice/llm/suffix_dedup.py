@@ -46,7 +46,8 @@ CHUNK = 256
 HOT_ROWS = 2048
 HOT_SHARE = 1e-5
 _SLICE = 1 << 20
-_TASK_BYTES = 16 << 20
+_TASK_BYTES = 8 << 20  # of text to a partition; sorting its segments takes some hundred bytes for each of theirs
+_PORTION = 6 << 20  # bytes of text that a task works on at once
 _TOP = np.uint64(2**64 - 1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -174,7 +175,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(out, _CHUNKS)
 
 
-def _portions(batches: Iterator[pa.RecordBatch], size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def _portions(batches: Iterator[pa.RecordBatch], size: int = _PORTION) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about `size` bytes or a single row."""
     for batch in batches:
         rows = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
@@ -275,6 +276,7 @@ _SEGMENTS = pa.schema([
     ("key", pa.int64()), ("segment", pa.binary()), ("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int64()),
     ("windows", pa.int64()), ("at", pa.int64()),
 ])
+_PIECES = 16_384  # pieces copied at once
 _GAP = b"\xff" * 64  # in no UTF-8 text; keeps texts more than a window apart
 
 
@@ -286,7 +288,11 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _pieces(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
     offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[_spans(starts, sizes)])])
+    body = np.empty(int(offsets[-1]), np.uint8)
+    for a in range(0, len(starts), _PIECES):  # the place of every byte is a number of eight
+        b = min(a + _PIECES, len(starts))
+        body[offsets[a] : offsets[b]] = data[_spans(starts[a:b], sizes[a:b])]
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
 
 
 def _grouped(key: np.ndarray, pieces: pa.BinaryArray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray, np.ndarray]:
@@ -311,7 +317,7 @@ def _mixed(words: np.ndarray, at: np.ndarray, offsets: tuple[int, ...]) -> np.nd
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Segments to be matched; equal ones of the batch once, for the smallest document. The others are settled."""
-    for batch in _portions(batches, 32 << 20):
+    for batch in _portions(batches):
         bodies = [t.encode() for t in batch.column("text").to_pylist()]
         sizes = np.array([len(x) for x in bodies])
         data = np.frombuffer(_GAP.join(bodies) + _GAP, np.uint8)
@@ -510,12 +516,14 @@ def _joined_pieces(pieces: pa.BinaryArray, index: np.ndarray) -> tuple[np.ndarra
     """The chosen pieces, each followed by 0xff, with their starts and sizes (with the separator)."""
     chosen = pieces.take(pa.array(index))
     offsets = np.frombuffer(chosen.buffers()[1], np.int32)[chosen.offset : chosen.offset + len(chosen) + 1].astype(np.int64)
-    body = np.frombuffer(chosen.buffers()[2], np.uint8)
+    body = np.frombuffer(chosen.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     sizes = np.diff(offsets) + 1
-    starts = np.cumsum(sizes) - sizes
-    data = np.full(int(sizes.sum()), 0xFF, np.uint8)
-    data[_spans(starts, sizes - 1)] = body[_spans(offsets[:-1], sizes - 1)]
-    return data, starts, sizes
+    ends = np.cumsum(sizes)
+    own = np.ones(int(ends[-1]), bool)
+    own[ends - 1] = False
+    data = np.full(len(own), 0xFF, np.uint8)
+    data[own] = body
+    return data, ends - sizes, sizes
 
 
 def _smallest(
@@ -610,10 +618,13 @@ def remove_repeated_strings(docs: DataFrame, text: str = "text", out: str = "suf
 
     @F.arrow_udf("struct<n_bytes:long, n_removed:long, n_spans:long, kept:binary>")
     def without(bodies: pa.Array, found: pa.Array) -> pa.Array:
-        rows = [_without((b or "").encode(), r) for b, r in zip(bodies.to_pylist(), found.to_pylist())]
-        return pa.array(
-            rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
-        )
+        kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+        step = max(1, len(bodies) * _PORTION // max(1, bodies.nbytes + found.nbytes))
+        parts = [pa.array([], kind)]
+        for a in range(0, len(bodies), step):  # a batch may be large, and its texts are held several times over
+            some = zip(bodies.slice(a, step).to_pylist(), found.slice(a, step).to_pylist())
+            parts.append(pa.array([_without((b or "").encode(), r) for b, r in some], kind))
+        return pa.concat_arrays(parts)
 
     th, found = fresh(docs, "th", "runs")
     named = docs.withColumn(th, F.xxhash64(F.col(text).cast("string")))

@@ -1,0 +1,45 @@
+"""Memory of the step that cuts texts into segments: it must not grow with the batches Spark hands over."""
+
+from __future__ import annotations
+
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+
+from paylattice.llm import suffix_dedup
+
+
+def test_segments_of_a_large_batch_take_little_memory():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 50_000, dtype=np.uint8)) for _ in range(300)]
+    spots, sizes = [], []
+    for text in texts:
+        at, h = suffix_dedup.minimizers(np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text)]))
+        spots.append(pa.StructArray.from_arrays([pa.array(at), pa.array(h.view(np.int64))], ["place", "hash"]))
+        sizes.append(len(at))
+    listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.concat_arrays(spots))
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array([t.decode() for t in texts]), listed], ["doc", "th", "text", "spots"])
+    tracemalloc.start()
+    try:
+        windows = 0
+        for found in suffix_dedup._segment_rows(iter([batch]), np.empty(0, np.int64)):
+            windows += pa.compute.sum(found["windows"]).as_py()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert windows == 300 * (50_000 - suffix_dedup.LENGTH + 1)  # random texts: every window once
+    assert peak < 300 << 20  # 15 MB of text
+
+
+def test_pieces_are_copied_whole():
+    data = np.arange(200_000, dtype=np.int64).astype(np.uint8)
+    starts = np.arange(0, 190_000, 5)
+    sizes = 50 + starts % 7
+    pieces = suffix_dedup._pieces(data, starts, sizes)
+    assert len(starts) > suffix_dedup._PIECES
+    assert all(pieces[i].as_py() == data[starts[i] : starts[i] + sizes[i]].tobytes() for i in range(0, len(starts), 997))
+    joined, at, held = suffix_dedup._joined_pieces(pieces.slice(3), np.array([5, 0, 9]))
+    for n, i in enumerate((8, 3, 12)):
+        assert joined[at[n] : at[n] + held[n]].tobytes() == pieces[i].as_py() + b"\xff"
